@@ -12,7 +12,6 @@ once a task.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracewell.llm.common import cut_lineage, mix64, table, texts
+from tracewell.llm.common import cut_lineage, mix64, stored, table, texts
 
 LENGTH, K = 100, 32
 #: Bytes that are hashed together, and rows that are settled together within a task.
@@ -286,16 +285,6 @@ def _compare(length: int):
     return run
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df by way of a Parquet table in the shared checkpoint folder: compressed, and it survives lost executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        cut_lineage(spark.range(0))
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with `doc`, a key of its own for every row, in the order of doc_id; a null one comes first.
 
