@@ -1,19 +1,365 @@
-"""The registered queries over the driver's tables."""
+"""The registered queries over the driver's tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracewell.functions.sentences import sentence_spans
+from tracewell.functions.udfs import normal_form
+from tracewell.operators import auditability, balance, evaluate, gates, integrity, ledger, spans
+from tracewell.plans import fixtures, views
+from tracewell.plans.model import Runs, is_root, piece
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+#: Rows up to which a table of quotations is broadcast against all documents.
+QUOTE_ROWS = 10_000
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
 
+    return register
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hop_balance(spark, sf_dir)
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> Runs:
+    return views.chats(views.read(spark, sf_dir, "conversations"))
+
+
+def _hops(spark: SparkSession, sf_dir: str, mutated: bool = False) -> Runs:
+    return views.hops(views.read(spark, sf_dir, "documents"), mutated)
+
+
+# --- conversations -------------------------------------------------------------------------------------------------
+
+_CHAT = """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS content,
+    max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations),
+a AS (SELECT CAST(conv_id AS VARCHAR) AS run_id, turn, role, content,
+    (CASE WHEN role = 'assistant' THEN 'a' ELSE 'm' END) || turn AS artifact_id,
+    CASE WHEN role = 'assistant' AND turn = last THEN 'final_answer' WHEN role = 'assistant' THEN 'intermediate' ELSE 'document' END AS kind,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS earlier FROM t)
+"""
+
+
+@query(_CHAT + "SELECT run_id, artifact_id, kind, length(content) AS n_chars, kind = 'document' AS root FROM a")
+def conv_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _chats(spark, sf_dir).artifacts
+    return a.select("run_id", "artifact_id", "kind", F.length("content").cast("long").alias("n_chars"), is_root(F.col("kind")).alias("root"))
+
+
+@query(_CHAT + "SELECT run_id, 's' || turn AS step_id, CAST(earlier AS BIGINT) AS n_inputs FROM a WHERE role = 'assistant'")
+def conv_steps_input_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chats(spark, sf_dir).steps.select("run_id", "step_id", F.size("inputs").cast("long").alias("n_inputs"))
+
+
+@query(_CHAT + "SELECT run_id, artifact_id, content FROM a WHERE kind = 'final_answer'")
+def conv_final_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chats(spark, sf_dir).artifacts.where("kind = 'final_answer'").select("run_id", "artifact_id", "content")
+
+
+@query(_CHAT + "SELECT kind, count(*) AS n, count(DISTINCT run_id) AS n_runs, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM a GROUP BY kind")
+def conv_kind_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _chats(spark, sf_dir).artifacts
+    return a.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("run_id").alias("n_runs"), F.sum(F.length("content")).alias("n_chars"))
+
+
+_ORPHANS = """, taken AS (SELECT x.run_id, x.artifact_id FROM a x WHERE EXISTS (SELECT 1 FROM a y WHERE y.run_id = x.run_id AND y.role = 'assistant' AND y.turn > x.turn)),
+told AS (SELECT DISTINCT run_id FROM a WHERE role = 'assistant'),
+f AS (
+  SELECT run_id, 'orphan_root' AS code, artifact_id AS subject FROM a WHERE kind = 'document' AND run_id IN (SELECT run_id FROM told)
+    AND (run_id, artifact_id) NOT IN (SELECT run_id, artifact_id FROM taken) AND length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) >= 20
+  UNION ALL SELECT run_id, 'undeclared_inputs', 's' || turn FROM a WHERE role = 'assistant' AND earlier = 0
+  UNION ALL SELECT run_id, 'empty_artifact', artifact_id FROM a WHERE trim(regexp_replace(content, '\\s+', ' ', 'g')) = ''
+  UNION ALL SELECT DISTINCT run_id, c, '-' FROM a, (VALUES ('no_final_answer'), ('no_steps')) v(c) WHERE run_id NOT IN (SELECT run_id FROM told)
+  UNION ALL SELECT run_id, 'duplicate_content', string_agg(artifact_id, ', ' ORDER BY artifact_id) FROM a
+    WHERE trim(regexp_replace(content, '\\s+', ' ', 'g')) <> '' GROUP BY run_id, content HAVING count(*) > 1)
+"""
+
+
+@query(_CHAT + _ORPHANS + "SELECT run_id, code, subject, code IN ('no_final_answer', 'no_steps') AS fatal, code = 'duplicate_content' AS is_note FROM f")
+def conv_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auditability.findings(_chats(spark, sf_dir))
+
+
+@query(
+    _CHAT
+    + _ORPHANS
+    + """, n AS (SELECT run_id, count(*) FILTER (WHERE code <> 'duplicate_content') AS found, bool_or(code IN ('no_final_answer', 'no_steps')) AS fatal FROM f GROUP BY run_id),
+r AS (SELECT run_id, count(*) FILTER (WHERE role = 'assistant') AS derived, count(*) FILTER (WHERE role = 'assistant' AND trim(content) <> '') AS told FROM a GROUP BY run_id)
+SELECT r.run_id, derived, CASE WHEN told > 0 THEN 1.0 END AS reachable_share, coalesce(found, 0) AS n_findings,
+  CASE WHEN coalesce(fatal, false) OR told = 0 THEN 'unauditable' WHEN coalesce(found, 0) > 0 THEN 'partial' ELSE 'auditable' END AS verdict FROM r LEFT JOIN n USING (run_id)"""
+)
+def conv_reachable_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auditability.check(_chats(spark, sf_dir)).select("run_id", "derived", "reachable_share", "n_findings", "verdict")
+
+
+@query(_CHAT + "SELECT run_id, 's' || turn AS step_id, 'reachable' AS class, CAST(earlier AS BIGINT) AS n_inputs FROM a WHERE role = 'assistant'")
+def conv_step_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return auditability.step_classes(_chats(spark, sf_dir)).select("run_id", "step_id", "class", F.col("n_inputs").cast("long").alias("n_inputs"))
+
+
+# --- documents -----------------------------------------------------------------------------------------------------
+
+
+@query("SELECT string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS ids, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY text HAVING count(*) > 1")
+def doc_duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.read(spark, sf_dir, "documents").select(F.lit("all").alias("run_id"), F.col("doc_id").cast("string").alias("artifact_id"), F.coalesce("text", F.lit("")).alias("content"))
+    return auditability.duplicate_content(docs).select(F.array_join("ids", ",").alias("ids"), F.size("ids").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, trim(lower(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g'))) AS normal FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+def doc_normalized_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    return docs.select("doc_id", normal_form("text").alias("normal"))
+
+
+@query()
+def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every document by its span; the rule for abbreviations looks back, which SQL can't."""
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    s = docs.select("doc_id", "text", F.posexplode(sentence_spans("text")).alias("nth", "at"))
+    return s.select("doc_id", "nth", "at.start", "at.end", piece(F.col("text"), F.col("at.start"), F.col("at.end")).alias("sentence"))
+
+
+@query("SELECT b.item_id, d.doc_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
+def benchmark_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold an item word for word. Items are broadcast where they are few; else they are met on the hash
+    of their first words."""
+    items = views.read(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("quote"))
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", "text")
+    if items.count() <= QUOTE_ROWS:
+        met = docs.join(F.broadcast(items), F.contains("text", "quote"))
+    else:
+        # a quotation's first 24 characters are one of the document's runs of 24 characters
+        key = lambda c: F.xxhash64(F.substring(c, 1, 24))
+        starts = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 23)), lambda k: F.xxhash64(F.substring(F.col("text"), k, F.lit(24)))))).alias("h"))
+        tied = starts.join(items.withColumn("h", key("quote")), "h").select("doc_id", "item_id", "quote").distinct()
+        met = tied.join(docs, "doc_id").where(F.contains("text", "quote"))
+    return met.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).cast("long").alias("start"))
+
+
+_SPANS = """WITH n AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0),
+l AS (SELECT doc_id, k * 200 AS s, least(k * 200 + 200, n) AS e FROM n, unnest(generate_series(0, CAST((n - 1) // 200 AS BIGINT))) u(k)),
+r AS (SELECT doc_id, k * 150 AS s, least(k * 150 + 220, n) AS e FROM n, unnest(generate_series(0, CAST((n - 1) // 150 AS BIGINT))) u(k) WHERE k % 4 <> 3)
+"""
+
+
+def _tiles(spark: SparkSession, sf_dir: str, step: int, width: int, skip: bool) -> DataFrame:
+    d = views.read(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")).where("n > 0")
+    d = d.withColumn("k", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / step).cast("int"))))
+    d = d.where("k % 4 <> 3") if skip else d
+    return d.select("doc_id", (F.col("k") * step).alias("start"), F.least(F.col("k") * step + width, "n").alias("end"))
+
+
+@query(_SPANS + "SELECT l.doc_id, count(*) AS n_pairs, CAST(sum(least(l.e, r.e) - greatest(l.s, r.s)) AS BIGINT) AS shared FROM l JOIN r ON l.doc_id = r.doc_id AND l.s < r.e AND r.s < l.e GROUP BY l.doc_id")
+def span_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _tiles(spark, sf_dir, 200, 200, False), _tiles(spark, sf_dir, 150, 220, True)
+    met = spans.overlapping(left, right.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end")), ["doc_id"])
+    return met.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("shared"))
+
+
+@query(
+    _SPANS
+    + """, g AS (SELECT *, CASE WHEN s > coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM r),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM g),
+m AS (SELECT doc_id, island, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, island)
+SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS covered FROM m GROUP BY doc_id"""
+)
+def span_union_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    union = spans.merged(_tiles(spark, sf_dir, 150, 220, True), ["doc_id"])
+    return union.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum(F.col("end") - F.col("start")).alias("covered"))
+
+
+# --- two-hop runs --------------------------------------------------------------------------------------------------
+
+_HOP = """
+WITH p AS (SELECT doc_id, text AS doc, string_split(text, '. ') AS p FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')),
+f AS (SELECT doc_id, doc, p[1] AS p0, p[2] AS p1 FROM p WHERE len(p) >= 4
+  AND length(p[1]) >= 15 AND length(p[2]) >= 15 AND length(p[3]) >= 15 AND length(p[4]) >= 15
+  AND p[1] = trim(p[1], ' ') AND p[2] = trim(p[2], ' ') AND p[3] = trim(p[3], ' ') AND p[4] = trim(p[4], ' ')),
+h AS (SELECT x.doc_id, CAST(x.doc_id AS VARCHAR) AS run_id, x.doc, x.p0, x.p1, y.p0 AS inv, x.doc_id % 2 = 1 AS odd,
+  CASE WHEN x.doc_id % 2 = 1 THEN y.p0 ELSE x.p1 END AS second FROM f x JOIN f y ON y.doc_id = x.doc_id + 1
+  WHERE strpos(x.doc, y.p0) = 0 AND x.p0 <> x.p1)
+"""
+
+
+@query(
+    _HOP
+    + """SELECT run_id, 'summary.c1' AS claim_id, 0 AS "start", length(p0) AS "end" FROM h
+UNION ALL SELECT run_id, 'summary.c2', length(p0) + 1, length(p0) + 1 + length(p1) FROM h
+UNION ALL SELECT run_id, 'summary.c3', length(p0) + length(p1) + 2, length(p0) + length(p1) + 2 + length(inv) FROM h
+UNION ALL SELECT run_id, 'answer.c1', 0, length(p0) FROM h
+UNION ALL SELECT run_id, 'answer.c2', length(p0) + 1, length(p0) + 1 + length(second) FROM h"""
+)
+def hop_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _hops(spark, sf_dir).claims
+    return c.select("run_id", "claim_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(
+    _HOP
+    + """SELECT run_id, CASE doc_id % 9 WHEN 1 THEN 'not_reachable_from_step' WHEN 2 THEN 'artifact_unknown' WHEN 3 THEN 'self_citation'
+  WHEN 4 THEN 'span_out_of_range' WHEN 5 THEN 'no_quoted_span' WHEN 6 THEN CASE WHEN regexp_matches(p0, '^[A-Za-z]{2}') THEN 'span_cuts_a_word' ELSE 'ok' END
+  WHEN 7 THEN 'span_mismatch' WHEN 8 THEN 'assumption_undeclared' ELSE 'ok' END AS reason FROM h
+  WHERE NOT regexp_matches(p0 || p1 || inv, '[0-9]')"""
+)
+def hop_gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates' answers to spoilt entries, of runs whose sentences hold no digit (a digit's number may be cut too)."""
+    runs = _hops(spark, sf_dir, mutated=True)
+    numbered = runs.claims.where(F.col("text").rlike("[0-9]") & F.col("claim_id").isin("summary.c1", "summary.c2", "summary.c3")).select("run_id").distinct()
+    return gates.verify(runs).where("entry_id = 'answer.c1.e1'").join(numbered, "run_id", "left_anti").select("run_id", "reason")
+
+
+@query(_HOP + "SELECT run_id, 'answer.c1' AS claim_id, 'summary.c1' AS cites FROM h UNION ALL SELECT run_id, 'answer.c2', CASE WHEN odd THEN 'summary.c3' ELSE 'summary.c2' END FROM h")
+def hop_citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _hops(spark, sf_dir)
+    up = ledger.citations(runs, gates.verify(runs)).select("run_id", "entry_id", F.explode("upstream").alias("cites"))
+    return up.join(runs.entries.select("run_id", "entry_id", "claim_id"), ["run_id", "entry_id"]).select("run_id", "claim_id", "cites")
+
+
+_HOP_STATUS = """, s AS (
+  SELECT run_id, 'summary.c1' AS claim_id, 'grounded' AS status, 1 AS depth, NULL AS step FROM h UNION ALL SELECT run_id, 'summary.c2', 'grounded', 1, NULL FROM h
+  UNION ALL SELECT run_id, 'summary.c3', 'prior_only', 0, 's2' FROM h UNION ALL SELECT run_id, 'answer.c1', 'grounded', 2, NULL FROM h
+  UNION ALL SELECT run_id, 'answer.c2', CASE WHEN odd THEN 'laundered' ELSE 'grounded' END, CASE WHEN odd THEN 1 ELSE 2 END, CASE WHEN odd THEN 's2' END FROM h)
+"""
+
+
+@query(_HOP + _HOP_STATUS + "SELECT run_id, claim_id, status, CAST(depth AS BIGINT) AS depth, step AS break_step_id FROM s")
+def hop_claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.close_books(_hops(spark, sf_dir)).select("run_id", "claim_id", "status", F.col("depth").cast("long").alias("depth"), "break_step_id")
+
+
+@query(
+    _HOP
+    + """SELECT run_id, CAST(2 AS BIGINT) AS final_claims, CAST(CASE WHEN odd THEN 1 ELSE 2 END AS BIGINT) AS closing, CASE WHEN odd THEN 0.5 ELSE 1.0 END AS coverage,
+  CASE WHEN odd THEN 0.5 ELSE 0.0 END AS laundering_rate, NOT odd AS books_balance, CASE WHEN odd THEN 'books_do_not_balance' ELSE '' END AS reasons, CAST(CASE WHEN odd THEN 1 ELSE 0 END AS BIGINT) AS exit_code FROM h"""
+)
+def hop_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _hops(spark, sf_dir)
+    b = balance.trial_balance(runs, ledger.close_books(runs))
+    return b.select("run_id", "final_claims", "closing", "coverage", "laundering_rate", "books_balance", F.array_join("reasons", ",").alias("reasons"), F.col("exit_code").cast("long").alias("exit_code"))
+
+
+@query(
+    _HOP
+    + """, l AS (SELECT run_id, odd, length(regexp_replace(p0, '[^A-Za-z0-9]', '', 'g')) AS a, length(regexp_replace(second, '[^A-Za-z0-9]', '', 'g')) AS b FROM h)
+SELECT run_id, a + b AS total, a + b AS claimed, CASE WHEN odd THEN a ELSE a + b END AS closed FROM l"""
+)
+def hop_answer_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _hops(spark, sf_dir)
+    return balance.answer_cover(runs, ledger.close_books(runs)).select("run_id", "total", "claimed", "closed")
+
+
+@query(_HOP + _HOP_STATUS + "SELECT run_id, claim_id, status, 'summary.c3' AS break_claim_id, 's2' AS break_step_id, 'model prior, no external evidence' AS break_reason FROM s WHERE status IN ('laundered', 'prior_only')")
+def hop_injection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.injection_points(ledger.close_books(_hops(spark, sf_dir)))
+
+
+@query(_HOP + _HOP_STATUS + "SELECT status, count(*) AS n FROM s GROUP BY status")
+def hop_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.close_books(_hops(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    _HOP
+    + """SELECT 2 * count(*) AS n, count(*) FILTER (WHERE odd) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 2 * count(*) - count(*) FILTER (WHERE odd) AS tn, 1.0 AS "precision", 1.0 AS recall, 0.0 AS fpr, 1.0 AS f1 FROM h"""
+)
+def hop_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of answers: flagged if a claim over them fails, true if they are the planted invention."""
+    runs = _hops(spark, sf_dir)
+    audits = ledger.close_books(runs).select("run_id", "claim_id", (~balance.closes(F.col("status"))).alias("fails"))
+    said = runs.claims.where("artifact_id = 'answer'").select("run_id", "artifact_id", "start", "end", "text")
+    over = runs.claims.join(audits, ["run_id", "claim_id"]).select("run_id", "artifact_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"), "fails")
+    flagged = spans.overlapping(said, over, ["run_id", "artifact_id"]).groupBy("run_id", "start", "text").agg(F.bool_or("fails").alias("flag"))
+    invented = runs.claims.where("claim_id = 'summary.c3'").select("run_id", F.col("text").alias("inv"))
+    return evaluate.confusion(flagged.join(invented, "run_id").withColumn("truth", F.col("text") == F.col("inv")), "truth", "flag")
+
+
+@query(_HOP + "SELECT run_id, CAST('x' AS VARCHAR) AS error FROM h WHERE false")
+def hop_bad_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.bad_runs(_hops(spark, sf_dir))
+
+
+@query()
+def deep_and_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains up to and over the depth limit, and rings with and without a way out."""
+    return ledger.close_books(fixtures.deep_and_cyclic(spark)).select("run_id", "claim_id", "status", "depth")
+
+
+@query()
+def fixture_laundered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a small run that launders a sentence: 2 final claims grounded, 1 laundered at the summary."""
+    runs = fixtures.laundered(spark)
+    return balance.trial_balance(runs, ledger.close_books(runs))
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------
+
+_PRF = """count(*) AS n, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn"""
+_RATES = """coalesce(tp / nullif(tp + fp, 0), 0.0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(fp / nullif(fp + tn, 0), 0.0) AS fpr"""
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("t"), (F.col("quality") == 0).alias("p"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "fpr", "f1")})
+
+
+@query(
+    f"WITH x AS (SELECT toxic = 1 AS t, quality = 0 AS p FROM labels), c AS (SELECT {_PRF} FROM x WHERE t IS NOT NULL AND p IS NOT NULL), r AS (SELECT *, {_RATES} FROM c) "
+    'SELECT n, tp, fp, fn, tn, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(fpr, 9) AS fpr, round(coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0.0), 9) AS f1 FROM r'
+)
+def labels_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluate.confusion(_labels(spark, sf_dir), "t", "p"))
+
+
+@query(
+    f"WITH x AS (SELECT lang, toxic = 1 AS t, quality = 0 AS p FROM labels JOIN documents USING (doc_id)), c AS (SELECT lang, {_PRF} FROM x WHERE t IS NOT NULL AND p IS NOT NULL GROUP BY lang), r AS (SELECT *, {_RATES} FROM c) "
+    'SELECT lang, n, tp, fp, fn, tn, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(fpr, 9) AS fpr, round(coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0.0), 9) AS f1 FROM r'
+)
+def labels_prf_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return _rounded(evaluate.confusion(_labels(spark, sf_dir).join(docs, "doc_id"), "t", "p", ["lang"]))
+
+
+@query(
+    "WITH x AS (SELECT toxic = 1 AS hit, length(text) / 4000.0 AS share FROM labels JOIN documents USING (doc_id)), c AS (SELECT * FROM (VALUES (0.2), (0.4), (0.5), (0.6), (0.8)) v(cut)) "
+    "SELECT CAST(cut AS DOUBLE) AS cut, count(*) FILTER (WHERE share >= cut) AS n_above, count(*) FILTER (WHERE share >= cut AND hit) AS hits_above, count(*) FILTER (WHERE share < cut) AS n_below, count(*) FILTER (WHERE share < cut AND hit) AS hits_below FROM x, c GROUP BY cut"
+)
+def labels_cut_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", (F.length("text") / 4000.0).alias("share"))
+    return evaluate.cut_table(_labels(spark, sf_dir).join(docs, "doc_id"), "share", "t")
+
+
+@query()
+def labels_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.bootstrap_f1(_labels(spark, sf_dir), "doc_id", "t", "p", draws=200)
+
+
+@query()
+def labels_stratified_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", "source")
+    return evaluate.stratified_permutation(_labels(spark, sf_dir).join(docs, "doc_id"), "doc_id", "source", "p", "t", draws=100)
