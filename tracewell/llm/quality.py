@@ -25,6 +25,8 @@ FOLDS, HELD = 5, 0
 POOLED, RIDGE = 0.1, 0.02
 #: Bytes that are compressed at a time to measure repetition; the whole text is, piece by piece.
 PIECE = 1 << 15
+#: Statistics of a document.
+FEATURES = 12
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
@@ -40,7 +42,7 @@ def statistics(text: str) -> list[float]:
     words = text.split()
     n, m = len(raw), max(1, len(words))
     if not n:
-        return [0.0] * 12
+        return [0.0] * FEATURES
     count = lambda kind: n - len(raw.translate(None, kind))
     upper, lower, digit, plain, symbol = map(count, (_UPPER, _LOWER, _DIGIT, _PLAIN, _SYMBOL))
     packed = sum(len(zlib.compress(raw[i : i + PIECE], 1)) for i in range(0, n, PIECE))
@@ -106,7 +108,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Discriminant:
     """The discriminant of at most `rows` labelled documents that are not held out."""
     got = sample(docs, labels, "quality", FOLDS, HELD, rows).mapInArrow(_features, "x array<double>, y int").collect()
-    return Discriminant.fit(np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got]))
+    return Discriminant.fit(np.array([r["x"] for r in got]).reshape(len(got), FEATURES), np.array([r["y"] for r in got]))
 
 
 def score(docs: DataFrame, model: Discriminant) -> DataFrame:
@@ -117,7 +119,7 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t) for t in texts(b.column(at))]).reshape(b.num_rows, -1)
+            x = np.array([statistics(t) for t in texts(b.column(at))]).reshape(b.num_rows, FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], [*b.schema.names, "score"])
 
     return docs.mapInArrow(run, f"{fields},score:double")

@@ -373,7 +373,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     path_ = matrices.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_scan, "key string, k int, a int, ar int, b int, br int")
     ids = cut.join(path_, ["key", "k"]).select("key", "k", "part", "lo", "hi", "a", "ar", "b", "br").mapInArrow(_traces(path), "key string, k int, ids array<int>")
     joined = ids.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.union(big.join(joined, F.col("_key") == F.col("key")).select(*docs.columns, "ids"))
+    return small.union(big.join(joined.withColumnRenamed("key", "_key"), "_key").select(*docs.columns, "ids"))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:

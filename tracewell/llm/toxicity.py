@@ -124,7 +124,7 @@ def units(word: str, restorer: Restorer) -> list[str]:
     core = word.strip(_TRIM)
     out = [core] if core else []
     if not core.isalpha() or _THRICE.search(core):
-        for form in {word.rstrip(".,;:?"), core, word.strip("!?.,;:'\"")}:
+        for form in dict.fromkeys((core, word.rstrip(".,;:?"), word.strip("!?.,;:'\""))):
             if disguised(form) and (r := restorer.restore(form)) and r not in out:
                 out.append(r)
     return out
