@@ -31,7 +31,7 @@ def step_loops(runs: Runs) -> DataFrame:
             out.setdefault(a, set()).add(b)
             out.setdefault(b, set())
         found = [(m, min(c)) for c in components(out, out) if len(c) > 1 for m in c]
-        return pd.DataFrame({"run_id": edges["run_id"].iloc[0], "step_id": [m for m, _ in found], "loop": [c for _, c in found]})
+        return pd.DataFrame({"run_id": edges["run_id"].iloc[0], "step_id": [m for m, _ in found], "loop": [c for _, c in found]}, dtype=object)
 
     # a loop needs a step that is fed by one of its own followers: runs whose edges all go forward have none
     order = runs.steps.select("run_id", "step_id", "ord")

@@ -65,7 +65,7 @@ def read_runs(spark: SparkSession, path: str, form: str | None = None, **options
                 out += [(name, k, json.dumps([x | {"run_id": name} for x in v], ensure_ascii=False)) for k, v in parts.items() if v]
                 listed = [{"run_id": name, "note": k, "artifact_id": str(i)} for k, v in notes.items() if isinstance(v, list) for i in v]
                 out.append((name, "notes", json.dumps(listed, ensure_ascii=False)))
-            yield pd.DataFrame(out, columns=["run_id", "part", "payload"])
+            yield pd.DataFrame(out, columns=["run_id", "part", "payload"], dtype=object)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     parsed = files.select("path", "content").mapInPandas(parse, "run_id string, part string, payload string")
