@@ -14,7 +14,7 @@ def payloads(runs: Runs, audits: DataFrame, balance: DataFrame) -> DataFrame:
     counts = status_counts(audits)
     claim = F.struct("claim_id", "status", "text", "depth", "chain", "break_claim_id", "break_step_id", "break_reason")
     claims = final_claims(runs, audits).groupBy("run_id").agg(F.sort_array(F.collect_list(claim)).alias("claims"))
-    x = balance.drop("laundered", "unchecked").join(counts, "run_id", "left").join(claims, "run_id", "left")
+    x = balance.drop("laundered", "unchecked", "claims").join(counts, "run_id", "left").join(claims, "run_id", "left")
     answer = F.struct(F.col("total").alias("letters"), "claimed", "closed", "mostly_unclaimed")
     body = F.struct("coverage", "laundering_rate", "books_balance", answer.alias("answer"), F.struct(*STATUSES).alias("counts"), "claims", "reasons", "exit_code")
     return x.select("run_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
