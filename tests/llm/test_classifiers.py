@@ -62,8 +62,13 @@ def test_restoration(spark):
     for seen, word in {"1d10t": "idiot", "i d i o t": "idiot", "idiooot": "idiot", "m0r0n": "moron", "s.t.u.p.i.d": "stupid", "cl0wn": "clown"}.items():
         assert r.restore(seen) == word
     assert "moron" in toxicity.units("m0r0n!", r) and toxicity.units("table", r) == ["table"]
-    reader = toxicity.Reader(toxicity.language_model(docs))
-    assert "moron" in reader("a m o r o n here") and reader("") == set()
+    long_run = " ".join("you are an idiot and a fool of a kind that has no end at all " * 4).replace("   ", " ")
+    assert "^idiot" in toxicity.Reader(toxicity.language_model(docs)).spaced(long_run)
+    lm = toxicity.language_model(docs)
+    reader = toxicity.Reader(lm)
+    assert "^moron" in reader("a m o r o n here") and reader("") == set()
+    known = toxicity.Reader(lm, {"moron": 0, "^here": 1})
+    assert known("a m o r o n here") == {0, 1}
 
 
 def test_decoder_against_brute_force(spark):

@@ -69,6 +69,8 @@ def test_jaccard_odd_rows(spark):
     rows = jaccard.join(docs).collect()
     assert len(rows) == 4 and all(r.class_id == r.doc_id for r in rows)
     assert jaccard.join(docs.limit(0)).count() == 0
+    kept = jaccard.keep_one(docs).collect()
+    assert sorted(map(tuple, kept), key=repr) == [(2, None), (None, "a b")]
 
 
 def test_bands():

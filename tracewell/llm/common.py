@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 #: Rows in an Arrow batch: documents can be long, so a batch is kept small.
 BATCH_ROWS = 1000
@@ -45,6 +47,26 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def added(df: DataFrame, **types: T.DataType) -> T.StructType:
+    """The schema of df with more fields."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, t) for k, t in types.items())])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a key of its own for every row, in the order of doc_id; a null one comes first.
+
+    Rows of one doc_id follow one another by their text.
+    """
+    x = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.min("doc_id").alias("lo")).first()
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((x["lo"] or 0) - 1).cast("long"))
+    if x["n"] == x["d"]:
+        return docs.withColumn("_row", key)
+    nth = F.row_number().over(W.partitionBy("_row").orderBy(F.xxhash64("text"), "text")) - 1
+    docs = cut_lineage(docs.withColumn("_row", key).withColumn("_nth", nth))
+    most = docs.agg(F.max("_nth")).first()[0] + 1
+    return docs.withColumn("_row", F.col("_row") * F.lit(most).cast("long") + F.col("_nth")).drop("_nth")
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of an Arrow column; null counts as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.llm.common import table, texts
+from tracewell.llm.common import added, table, texts
 
 #: Elements whose content is never text of the page.
 DROPPED = frozenset("script style noscript template head title textarea select option button svg math iframe object audio video canvas map datalist dialog".split())
@@ -339,13 +340,13 @@ def main_text(page: str, root: Node | None = None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """pages(html, ...) with `text`, the main text (any column of that name goes). Null html: empty. Every row stays."""
     pages = pages.drop("text")
-    at, fields = pages.columns.index("html"), pages.schema.simpleString()[7:-1]
+    at = pages.columns.index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([main_text(p) for p in texts(b.column(at))], pa.string())], [*b.schema.names, "text"])
 
-    return pages.mapInArrow(run, f"{fields},text:string")
+    return pages.mapInArrow(run, added(pages, text=T.StringType()))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

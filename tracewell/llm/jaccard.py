@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import components, cut_lineage, grouped, mix64, table, texts
+from tracewell.llm.common import components, cut_lineage, grouped, keyed, mix64, table, texts
 
 WORDS, THRESHOLD = 5, 0.8
 #: Least probability that a pair at the threshold shares a band, and the number of hashes to spend.
@@ -233,9 +233,12 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: of each class the document with the smallest doc_id (its first row, if ids recur)."""
-    kept = join(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    """The rows of docs that stay: one of each class, that with the smallest doc_id. Every row counts for itself: of
+    repeated rows one stays, and rows without a doc_id are compared too and come first."""
+    wide = keyed(docs)
+    rows = join(wide.select(F.col("_row").alias("doc_id"), "text"), **options)
+    kept = rows.where("doc_id = class_id").select(F.col("doc_id").alias("_row"))
+    return wide.join(kept, "_row", "left_semi").select(docs.columns)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.llm.common import table, texts
+from tracewell.llm.common import added, table, texts
 from tracewell.llm.labelled import LABELLED_ROWS, remainder, sample
 
 THRESHOLD = 0.3
@@ -115,14 +116,13 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
     """docs with `score` added (any column of that name goes). Null text: empty. Every row stays, repeated ones too."""
     docs = docs.drop("score")
     at = docs.columns.index("text")
-    fields = docs.schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t) for t in texts(b.column(at))]).reshape(b.num_rows, FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, f"{fields},score:double")
+    return docs.mapInArrow(run, added(docs, score=T.DoubleType()))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

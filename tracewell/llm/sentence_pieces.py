@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.llm.common import grouped, stored, table, texts
+from tracewell.llm.common import added, grouped, stored, table, texts
 
 MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk; a longer text is giant.
@@ -355,7 +356,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     """
     path = path or model_path()
     docs = docs.drop("ids")
-    at, fields = docs.columns.index("text"), docs.schema.simpleString()[7:-1]
+    at = docs.columns.index("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
@@ -366,7 +367,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
 
     giant = F.length(F.coalesce("text", F.lit(""))) > chunk
-    small = docs.where(~giant).mapInArrow(whole, f"{fields},ids:array<int>")
+    small = docs.where(~giant).mapInArrow(whole, added(docs, ids=T.ArrayType(T.IntegerType())))
     big = docs.where(giant).withColumn("_key", F.sha2("text", 256))
     cut = stored(big.select("_key", "text").dropDuplicates(["_key"]).mapInArrow(_chunks(path, chunk), "key string, k int, part string, lo int, hi int, final boolean").repartition("key", "k"))
     matrices = cut.mapInArrow(_transfers(path), "key string, k int, m array<struct<a:int,ar:int,b:int,br:int,w:double>>")
@@ -380,7 +381,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded(ids, ...) with `decoded`, the text of the ids (any column of that name goes). Null ids: empty."""
     path = path or model_path()
     encoded = encoded.drop("decoded")
-    at, fields = encoded.columns.index("ids"), encoded.schema.simpleString()[7:-1]
+    at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
@@ -389,7 +390,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             out = [p.decode(x.values.to_numpy()) if x.is_valid else "" for x in column]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{fields},decoded:string")
+    return encoded.mapInArrow(run, added(encoded, decoded=T.StringType()))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,8 +12,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.llm.common import table, texts
+from tracewell.llm.common import added, table, texts
 from tracewell.llm.sentence_pieces import START, Pieces, model_path, pieces_of, segments
 
 #: Nodes of a worker's trie; it starts anew beyond them, so its memory is bounded.
@@ -104,7 +105,7 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or model_path()
     docs = docs.drop("n_tokens", "n_pretokens")
-    at, fields = docs.columns.index("text"), docs.schema.simpleString()[7:-1]
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _tries.get(path) or _tries.setdefault(path, Trie(pieces_of(path)))
@@ -112,7 +113,7 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
             both = [trie.tokens(t) for t in texts(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in both], pa.int64()) for k in (0, 1))], [*b.schema.names, "n_tokens", "n_pretokens"])
 
-    return docs.mapInArrow(run, f"{fields},n_tokens:bigint,n_pretokens:bigint")
+    return docs.mapInArrow(run, added(docs, n_tokens=T.LongType(), n_pretokens=T.LongType()))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.llm.common import cut_lineage, table, texts
+from tracewell.llm.common import added, cut_lineage, table, texts
 from tracewell.llm.labelled import LABELLED_ROWS, remainder, sample
 
 THRESHOLD = 0.3
@@ -29,8 +30,6 @@ RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "
 SEPARATORS = " .-_*~,/\\'’"
 #: Costs of the channel, as negative log probabilities.
 KEEP, RESEMBLE, APART, AGAIN, DOUBLE = 0.05, 0.4, 0.1, 0.3, 1.2
-#: A longer token is not a disguised word; it is scored as it stands.
-LONGEST = 60
 #: Word beginnings that are features besides whole words.
 STARTS = (4, 5, 6)
 #: A feature counts if at least so many labelled texts of label 1 hold it, and that share of those that hold it.
@@ -116,7 +115,7 @@ class Restorer:
 
 
 def disguised(word: str) -> bool:
-    return 3 <= len(word) <= LONGEST and bool(_AMONG.search(word) or _THRICE.search(word) or _SPLIT_UP.fullmatch(word))
+    return len(word) >= 3 and bool(_AMONG.search(word) or _THRICE.search(word) or _SPLIT_UP.fullmatch(word))
 
 
 def units(word: str, restorer: Restorer) -> list[str]:
@@ -139,6 +138,7 @@ class Reader:
 
     def __init__(self, lm: np.ndarray, known: dict[str, int] | None = None):
         self.restorer, self.known, self.memo = Restorer(lm), known, {}
+        self.longest = max(map(len, known or ()), default=0)
 
     def _word(self, word: str) -> tuple:
         found = dict.fromkeys(f for u in units(word, self.restorer) for f in features(u))
@@ -158,14 +158,24 @@ class Reader:
         for g in set(got):
             found.update(g)
         for m in _SPACED.finditer(low):
-            for form in self.spaced(m[0]):
-                found.update(features(form) if self.known is None else (self.known[f] for f in features(form) if f in self.known))
+            for f in self.spaced(m[0]):
+                if self.known is None:
+                    found.add(f)
+                elif f in self.known:
+                    found.add(self.known[f])
         return found
 
     def spaced(self, run: str) -> list[str]:
-        """Letters set apart: the whole run restored, and the words that wider gaps part."""
-        parts = {run, *re.split(r"[ ]{2,}", run)}
-        return [self.restorer.restore(p) for p in parts if 4 <= len(p) <= 2 * LONGEST]
+        """Features of letters set apart: the run restored as a whole and by the words that wider gaps part. Where no
+        gap is wider a run may hold several words, so every place in it counts as a beginning."""
+        out: dict[str, None] = {}
+        for part in dict.fromkeys((run, *re.split(r"[ ]{2,}", run))):
+            word = self.restorer.restore(part)
+            out |= dict.fromkeys(features(word))
+            out |= dict.fromkeys(f"^{word[j : j + k]}" for j in range(len(word)) for k in STARTS if j + k <= len(word))
+            if self.known is not None:
+                out |= dict.fromkeys(w for j in range(len(word)) for k in range(STARTS[0], self.longest + 1) if (w := word[j : j + k]) in self.known)
+        return list(out)
 
 
 @dataclass
@@ -228,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score` added (any column of that name goes). Null text: empty. Every row stays, repeated ones too."""
     docs = docs.drop("score")
-    at, fields = docs.columns.index("text"), docs.schema.simpleString()[7:-1]
+    at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size and weights from a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = 1 / (1 + np.exp(-np.clip(np.array(odds, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, f"{fields},score:double")
+    return docs.mapInArrow(run, added(docs, score=T.DoubleType()))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
