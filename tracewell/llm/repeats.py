@@ -26,8 +26,9 @@ LENGTH, K = 100, 32
 #: Bytes that are hashed together, and rows that are settled together within a task.
 BUFFER, FLUSH = 1 << 20, 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
-_SPAN = "key long, s long, doc long, lo int, n int, kind int"
-_OPEN, _MIXED, _APART, _DONE = 0, 1, 2, 3
+#: Rows are kept narrow, since most of what is shuffled is these: n holds a number times KINDS plus the kind of row.
+_SPAN = "key long, s long, doc long, lo int, n int"
+_OPEN, _MIXED, _APART, _DONE, _KINDS = 0, 1, 2, 3, 4
 
 _tables: dict[int, tuple] = {}
 
@@ -138,7 +139,7 @@ def _rows(names_types: list[tuple[str, pa.DataType]], *cols: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, names_types, strict=True)], [n for n, _ in names_types])
 
 
-_SPAN_TYPES = [("key", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("kind", pa.int32())]
+_SPAN_TYPES = [("key", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
@@ -155,14 +156,14 @@ def _settle(a: np.ndarray, s: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np
     d, b, e = merged(doc[~new], lo[~new], lo[~new] + n[~new] + length - 1)
     if len(d):
         zero = np.zeros(len(d), np.int64)
-        yield _rows(_SPAN_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), zero, d, b, e - b, zero + _DONE)
+        yield _rows(_SPAN_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), zero, d, b, (e - b) * _KINDS + _DONE)
     new_a = new_a[new]
     a, s, doc, lo, n = (x[new] for x in (a, s, doc, lo, n))
     group = np.cumsum(new_a) - 1
     mixed = (np.bincount(group) > 1)[group]
     kind = np.where(~mixed, _OPEN, np.where(new_a, _MIXED, _APART))
     key = np.where(kind == _APART, mix64(a ^ s), a)
-    yield _rows(_SPAN_TYPES, _i64(key), _i64(s), doc, lo, n, kind)
+    yield _rows(_SPAN_TYPES, _i64(key), _i64(s), doc, lo, n * _KINDS + kind)
 
 
 def _find(length: int, k: int):
@@ -212,8 +213,8 @@ def _resolve(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_keys(batches, "key"):
-            key, s, doc, lo, n, kind = (t.column(c).to_numpy() for c in ("key", "s", "doc", "lo", "n", "kind"))
-            lo, n = lo.astype(np.int64), n.astype(np.int64)
+            key, s, doc, lo, n = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "s", "doc", "lo", "n"))
+            n, kind = n // _KINDS, n % _KINDS
             done = kind == _DONE
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
             new = new_key.copy()
@@ -229,8 +230,9 @@ def _resolve(length: int):
     return run
 
 
-_WINDOW = "h1 long, h2 long, doc long, lo int, n int, kind int"
-_WINDOW_TYPES = [("h1", pa.int64()), ("h2", pa.int64()), *_RANGE_TYPES]
+#: A window's hash has 96 bits. n: 0 for a window, else the bytes of a range that is done.
+_WINDOW = "h1 long, h2 int, doc long, lo int, n int"
+_WINDOW_TYPES = [("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]
 
 
 def _windows(length: int):
@@ -242,9 +244,8 @@ def _windows(length: int):
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         d, b, e = merged(doc[~new], lo[~new], lo[~new] + length)
         zero = np.zeros(len(d), np.int64)
-        yield _rows(_WINDOW_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), zero, d, b, e - b, zero + _DONE)
-        one = np.ones(int(new.sum()), np.int64)
-        yield _rows(_WINDOW_TYPES, _i64(h1[new]), _i64(h2[new]), doc[new], lo[new], one, one * _APART)
+        yield _rows(_WINDOW_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), zero, d, b, e - b)
+        yield _rows(_WINDOW_TYPES, _i64(h1[new]), h2[new], doc[new], lo[new], np.zeros(int(new.sum()), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -257,8 +258,8 @@ def _windows(length: int):
                     own = at[(at >= base) & (at < base + BUFFER)]
                     if len(own):
                         part = raw[base : base + BUFFER + length]
-                        h = [Hashes(part, w).of(own - base, own - base + length) for w in (0, 1)]
-                        held.append((*h, np.full(len(own), doc, np.int64), own))
+                        h1, h2 = (Hashes(part, w).of(own - base, own - base + length) for w in (0, 1))
+                        held.append((h1, (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(own), doc, np.int64), own))
                         size += len(own)
                 if size >= FLUSH:
                     yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -274,9 +275,8 @@ def _compare(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_keys(batches, "h1"):
-            h1, h2, doc, lo, n, kind = (t.column(c).to_numpy() for c in ("h1", "h2", "doc", "lo", "n", "kind"))
-            lo, n = lo.astype(np.int64), n.astype(np.int64)
-            done = kind == _DONE
+            h1, h2, doc, lo, n = (t.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2", "doc", "lo", "n"))
+            done = n > 0
             new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) | done
             again = ~new & ~done
             d, b, e = merged(np.concatenate([doc[done], doc[again]]), np.concatenate([lo[done], lo[again]]), np.concatenate([lo[done] + n[done], lo[again] + length]))
