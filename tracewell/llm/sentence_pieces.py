@@ -105,7 +105,7 @@ class Pieces:
         if known is None:
             x, y = self.texts[a], self.texts[b]
             known = self.pairs[a, b] = self.merged(x + y) == [x, y]
-            if len(self.pairs) > 4 * MEMO_WORDS:
+            if len(self.pairs) > 2 * MEMO_WORDS:
                 self.pairs.clear()
         return known
 
@@ -179,7 +179,10 @@ class Pieces:
         s = self.normal(text)
         if not s:
             return b""
-        words = segments(s) if self.by_words else [s]
+        return self.words(segments(s) if self.by_words else [s])
+
+    def words(self, words: list[str]) -> bytes:
+        """The ids of words that no piece leaves, one after another."""
         found = list(map(self.memo.get, words))
         if None in found:
             if len(self.memo) > MEMO_WORDS:
@@ -196,6 +199,7 @@ class Pieces:
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
+_CUT = re.compile(f"[^{SPACE}](?={SPACE})")
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -224,8 +228,27 @@ def states(p: Pieces, text: str, cut: int) -> list[State]:
     return list(found)
 
 
+def word_cuts(p: Pieces, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+    """The first and the last place within (lo, hi) that no piece of a BPE model goes over, if there are two.
+
+    Merging never crosses a space behind another character, so all paths meet there in one state, whatever precedes.
+    """
+    if not (p.bpe and p.by_words):
+        return None
+    a = next((m.start() + 1 for m in _CUT.finditer(text, max(0, lo)) if m.start() + 1 > lo), hi)
+    b = hi - 1
+    while b > a and not (text[b - 1 : b] not in ("", SPACE) and text[b : b + 1] == SPACE):
+        b -= 1
+    return (a, b) if a < b else None
+
+
 def transfer(p: Pieces, text: str, lo: int, hi: int, first: bool, final: bool) -> Matrix:
     """The matrix of the chunk text[lo:hi]; text holds at least the longest piece more on either side, if there is any."""
+    if sure := word_cuts(p, text, lo, hi):
+        behind = transfer(p, text, sure[1], hi, True, final).get((START, 0), {})
+        head = text[: sure[0]]
+        ahead = [(START, 0)] if first else states(p, text, lo)
+        return {s: dict(behind) for s in ahead if behind and lo + s[1] <= sure[0] and (lo + s[1] == sure[0] or p.forward(head, lo + s[1], s[0], sure[0])[2][sure[0]] > _FAR)}
     out: Matrix = {}
     done: list[tuple[list[int], list[float], dict[State, float]]] = []
     for i, reach in [(START, 0)] if first else states(p, text, lo):
@@ -290,6 +313,11 @@ def traced(p: Pieces, text: str, lo: int, hi: int, start: State, end: State) ->
     at = lo + start[1]
     if at > hi:
         return []
+    if sure := word_cuts(p, text, lo, hi):
+        a, b = sure
+        last, back, _ = p.forward(text[:a], at, start[0], a)
+        within = np.frombuffer(p.words(segments(text[a:b])), "<u4").tolist()
+        return p.trace(last, back, at, a) + within + traced(p, text, b, hi, (START, 0), end)
     last, back, _ = p.forward(text, at, start[0], hi)
     return p.trace(last, back, at, hi + end[1])
 
