@@ -18,16 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from tracewell.llm.common import cut_lineage, mix64, stored, table, texts
+from tracewell.llm.common import keyed, mix64, stored, table, texts
 
 LENGTH, K = 100, 32
 #: Bytes that are hashed together, and rows that are settled together within a task.
 BUFFER, FLUSH = 1 << 20, 1 << 20
 _PLACE = np.uint64((1 << 21) - 1)
-#: Rows are kept narrow, since most of what is shuffled is these: n holds a number times KINDS plus the kind of row.
-_SPAN = "key long, s long, doc long, lo int, n int"
+#: Rows are kept narrow, since most of what is shuffled is these: `at` holds a start in its upper half, and in its
+#: lower half a number times KINDS plus the kind of row.
+_SPAN = "key long, s long, doc long, at long"
 _OPEN, _MIXED, _APART, _DONE, _KINDS = 0, 1, 2, 3, 4
 
 _tables: dict[int, tuple] = {}
@@ -139,7 +139,7 @@ def _rows(names_types: list[tuple[str, pa.DataType]], *cols: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, names_types, strict=True)], [n for n, _ in names_types])
 
 
-_SPAN_TYPES = [("key", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]
+_SPAN_TYPES = [("key", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("at", pa.int64())]
 
 
 def _i64(x: np.ndarray) -> np.ndarray:
@@ -156,14 +156,14 @@ def _settle(a: np.ndarray, s: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np
     d, b, e = merged(doc[~new], lo[~new], lo[~new] + n[~new] + length - 1)
     if len(d):
         zero = np.zeros(len(d), np.int64)
-        yield _rows(_SPAN_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), zero, d, b, (e - b) * _KINDS + _DONE)
+        yield _rows(_SPAN_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), zero, d, b << 32 | (e - b) * _KINDS + _DONE)
     new_a = new_a[new]
     a, s, doc, lo, n = (x[new] for x in (a, s, doc, lo, n))
     group = np.cumsum(new_a) - 1
     mixed = (np.bincount(group) > 1)[group]
     kind = np.where(~mixed, _OPEN, np.where(new_a, _MIXED, _APART))
     key = np.where(kind == _APART, mix64(a ^ s), a)
-    yield _rows(_SPAN_TYPES, _i64(key), _i64(s), doc, lo, n * _KINDS + kind)
+    yield _rows(_SPAN_TYPES, _i64(key), _i64(s), doc, lo << 32 | n * _KINDS + kind)
 
 
 def _find(length: int, k: int):
@@ -209,12 +209,15 @@ _RANGE_TYPES = [("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("ki
 
 
 def _resolve(length: int):
-    """Spans sorted by key, s, doc, lo: done byte ranges, and the spans whose windows must be compared."""
+    """Spans sorted by key: done byte ranges, and the spans whose windows must be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_keys(batches, "key"):
-            key, s, doc, lo, n = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "s", "doc", "lo", "n"))
-            n, kind = n // _KINDS, n % _KINDS
+            key, s, doc, at = (t.column(c).to_numpy() for c in ("key", "s", "doc", "at"))
+            order = np.lexsort((at, doc, s, key))
+            key, s, doc, at = (x[order] for x in (key, s, doc, at))
+            low = at & 0xFFFFFFFF
+            lo, n, kind = at >> 32, low // _KINDS, low % _KINDS
             done = kind == _DONE
             new_key = np.concatenate([[True], key[1:] != key[:-1]])
             new = new_key.copy()
@@ -230,9 +233,10 @@ def _resolve(length: int):
     return run
 
 
-#: A window's hash has 96 bits. n: 0 for a window, else the bytes of a range that is done.
-_WINDOW = "h1 long, h2 int, doc long, lo int, n int"
-_WINDOW_TYPES = [("h1", pa.int64()), ("h2", pa.int32()), ("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())]
+#: A window's hash has 95 bits; `at` holds its last 31 in the upper half and the window's start in the lower. n: 0 for
+#: a window, else the bytes of a range that is done.
+_WINDOW = "h1 long, at long, doc long, n int"
+_WINDOW_TYPES = [("h1", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())]
 
 
 def _windows(length: int):
@@ -243,9 +247,8 @@ def _windows(length: int):
         h1, h2, doc, lo = (x[order] for x in (h1, h2, doc, lo))
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         d, b, e = merged(doc[~new], lo[~new], lo[~new] + length)
-        zero = np.zeros(len(d), np.int64)
-        yield _rows(_WINDOW_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), zero, d, b, e - b)
-        yield _rows(_WINDOW_TYPES, _i64(h1[new]), h2[new], doc[new], lo[new], np.zeros(int(new.sum()), np.int64))
+        yield _rows(_WINDOW_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), b, d, e - b)
+        yield _rows(_WINDOW_TYPES, _i64(h1[new]), h2[new] << 32 | lo[new], doc[new], np.zeros(int(new.sum()), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -259,7 +262,7 @@ def _windows(length: int):
                     if len(own):
                         part = raw[base : base + BUFFER + length]
                         h1, h2 = (Hashes(part, w).of(own - base, own - base + length) for w in (0, 1))
-                        held.append((h1, (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(own), doc, np.int64), own))
+                        held.append((h1, (h2 >> np.uint64(33)).astype(np.int64), np.full(len(own), doc, np.int64), own))
                         size += len(own)
                 if size >= FLUSH:
                     yield from settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -271,11 +274,14 @@ def _windows(length: int):
 
 
 def _compare(length: int):
-    """Windows sorted by h1, h2, doc, lo: the byte ranges of all but the first of equal ones."""
+    """Windows sorted by h1: the byte ranges of all but the first of equal ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_keys(batches, "h1"):
-            h1, h2, doc, lo, n = (t.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2", "doc", "lo", "n"))
+            h1, at, doc, n = (t.column(c).to_numpy().astype(np.int64) for c in ("h1", "at", "doc", "n"))
+            h2, lo = at >> 32, at & 0xFFFFFFFF
+            order = np.lexsort((lo, doc, h2, h1))
+            h1, h2, doc, lo, n = (x[order] for x in (h1, h2, doc, lo, n))
             done = n > 0
             new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) | done
             again = ~new & ~done
@@ -285,29 +291,14 @@ def _compare(length: int):
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with `doc`, a key of its own for every row, in the order of doc_id; a null one comes first.
-
-    Rows of one doc_id follow one another by their text: equal rows are repeats of the first.
-    """
-    x = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.min("doc_id").alias("lo")).first()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((x["lo"] or 0) - 1).cast("long"))
-    if x["n"] == x["d"]:
-        return docs.withColumn("doc", key)
-    nth = F.row_number().over(W.partitionBy("doc").orderBy(F.xxhash64("text"), "text")) - 1
-    docs = cut_lineage(docs.withColumn("doc", key).withColumn("nth", nth))
-    most = docs.agg(F.max("nth")).first()[0] + 1
-    return docs.withColumn("doc", F.col("doc") * F.lit(most).cast("long") + F.col("nth")).drop("nth")
-
-
 def repeated(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """docs(doc, text) with `ranges`, an array of (lo, n): byte ranges that cover all repeats (null if none); they may overlap."""
+    """docs(doc, text, ...) as (doc, text, ranges): an array of (lo, n): byte ranges that cover all repeats (null if none); they may overlap."""
     docs = docs.select("doc", "text")
     found = docs.mapInArrow(_find(length, k), _SPAN)
-    found = stored(found.repartition("key").sortWithinPartitions("key", "s", "doc", "lo").mapInArrow(_resolve(length), _RANGE))
+    found = stored(found.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(length), _RANGE))
     apart = found.where(F.col("kind") == _APART).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("found"))
     windows = docs.join(apart.hint("shuffle_hash"), "doc").select("doc", "text", "found").mapInArrow(_windows(length), _WINDOW)
-    more = windows.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "lo").mapInArrow(_compare(length), _RANGE)
+    more = windows.repartition("h1").sortWithinPartitions("h1").mapInArrow(_compare(length), _RANGE)
     ranges = found.where(F.col("kind") == _DONE).union(more).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
     return docs.join(ranges.hint("shuffle_hash"), "doc", "left")
 
@@ -342,7 +333,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((doc, len(raw), sum(hi - lo for lo, hi in cover), len(cover), h.hexdigest()))
             yield _rows(types, *(list(zip(*out, strict=True)) or [[]] * 5))
 
-    docs = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    docs = keyed(docs.select(F.col("doc_id").cast("long"), "text")).withColumnRenamed("_row", "doc")
     done = repeated(docs, length).mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return done.join(docs.select("doc", "doc_id"), "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -366,13 +357,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.append(raw[at:lo])
                     at = hi
                 out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_row", "_kept"])
 
     wide = keyed(docs)
-    cut = repeated(wide, length).where("ranges is not null").mapInArrow(run, "doc long, kept_text string")
-    text = F.coalesce("kept_text", "text")
-    new = {"text": text} | ({"n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return wide.join(cut, "doc", "left").select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+    cut = repeated(wide.select(F.col("_row").alias("doc"), "text"), length).where("ranges is not null").mapInArrow(run, "_row long, _kept string")
+    new = {"text": F.coalesce("_kept", "text")} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
+    return wide.join(cut, "_row", "left").select(*(new[c].alias(c) if c in new else c for c in docs.columns))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
