@@ -35,6 +35,22 @@ def test_plan_packs_all_within_capacity():
     assert packing.plan({}, 512) == []
 
 
+def test_every_length_is_covered_by_configurations():
+    counts = Counter(np.random.default_rng(0).integers(64, 256, 3000).tolist())
+    got, made = Counter(), packing.covering(dict(counts), 512)
+    for pattern, times in made:
+        assert times > 0 and sum(k * v for k, v in pattern.items()) <= 512
+        got.update({k: v * times for k, v in pattern.items()})
+    assert got == counts and len(made) <= 3 * len(counts)
+    plan = sum(times for _, times in packing.plan(dict(counts), 512))
+    assert plan == sum(times for _, times in made) <= sum(times for _, times in packing.best_fit(counts, 512)) - 10
+
+
+def test_knapsack_of_what_is_left():
+    assert packing.best_pattern(np.array([2, 3]), np.array([2.0, 3.0]), 11, np.array([1, 5])) == {3: 3, 2: 1}
+    assert packing.best_pattern(np.array([2, 3]), np.array([2.0, 3.0]), 11, np.array([1, 2])) == {3: 2, 2: 1}
+
+
 def test_pack(spark):
     tok = Tokenizer.from_file(packing.tokenizer_path())
     docs = spark.createDataFrame([(i, t, "s", i) for i, t in enumerate(TEXTS)], "doc_id long, text string, length string, `offset` int")

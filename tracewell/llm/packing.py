@@ -3,8 +3,8 @@
 The histogram has at most `capacity` distinct lengths whatever the corpus holds, so the plan is made on the driver
 from a table of bounded size; documents never leave the executors. The program (fewest sequences so that every
 length is covered) is solved by multiplicative weights: each round prices configurations by a knapsack dynamic
-programme under the present weights, adds the best one and lowers the weights of the lengths it covers. The
-fractional solution is rounded down; what is left over is placed best fit, longest first.
+programme under the present weights, uses the best one in whole sequences and lowers the weights of the lengths it
+covers, until every length is covered.
 """
 
 from __future__ import annotations
@@ -132,51 +132,51 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> Counter:
-    """The knapsack dynamic programme: the multiset of lengths, within capacity, of the largest total value."""
-    order = np.argsort(lengths)
-    lengths, values = lengths[order], values[order]
-    best, chosen = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        if k := upto[c]:
-            total = values[:k] + best[c - lengths[:k]]
-            j = int(total.argmax())
-            if total[j] > best[c]:
-                best[c], chosen[c] = total[j], j
+def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int, most: np.ndarray | None = None) -> Counter:
+    """The knapsack dynamic programme: the multiset of lengths, within capacity, of the largest total value.
+
+    `most`: how often each length may be taken at most. Copies are taken by powers of two, longest lengths first.
+    """
+    best, steps = np.zeros(capacity + 1), []
+    for i in np.argsort(-lengths):
+        length, copies = int(lengths[i]), 1
+        left = capacity // length if most is None else min(int(most[i]), capacity // length)
+        while left > 0:
+            copies = min(copies, left)
+            with_it = best[: capacity + 1 - length * copies] + values[i] * copies
+            without = best[length * copies :]
+            better = with_it > without
+            np.copyto(without, with_it, where=better)
+            steps.append((length, copies, better))
+            left -= copies
+            copies *= 2
     found, c = Counter(), capacity
-    while c > 0:
-        if chosen[c] < 0:
-            c -= 1
-        else:
-            found[int(lengths[chosen[c]])] += 1
-            c -= int(lengths[chosen[c]])
+    for length, copies, better in reversed(steps):
+        if c >= length * copies and better[c - length * copies]:
+            found[length] += copies
+            c -= length * copies
     return found
 
 
-def fractional(counts: dict[int, int], capacity: int, rounds: int, step: float = 0.5, rate: float = 0.02) -> list[tuple[dict[int, int], float]]:
-    """Configurations and their weights: an approximate solution of the covering program by multiplicative weights.
+def covering(counts: dict[int, int], capacity: int, rounds: int | None = None, rate: float = 0.02) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how often each is used: the covering program by multiplicative weights, in whole steps.
 
-    A length's weight is its share of the capacity times exp(-rate * how often it is covered already), so that
-    full configurations of lengths that are least covered are priced highest.
+    A length's weight is its share of the capacity times exp(-rate * the share of it that is covered already), so that
+    full configurations of lengths that are least covered are priced highest. Configurations hold no length more often
+    than it is still left, and each is used as often as they are left for, so every round leaves some length less often
+    than the configuration holds it: rounds depend on the capacity, not on the counts. Nothing is left to round.
     """
     lengths = np.array(sorted(counts))
-    n = np.array([counts[x] for x in lengths], float)
-    at, covered, out = {int(x): i for i, x in enumerate(lengths)}, np.zeros(len(lengths)), []
-    for _ in range(rounds):
-        values = lengths / capacity * np.exp(-rate * covered)
-        open_ = covered < 1 - 1e-9
-        if not open_.any():
-            break
-        pattern = {k: v for k, v in best_pattern(lengths[open_], values[open_], capacity).items()}
-        if not pattern:
-            break
-        idx = np.array([at[k] for k in pattern])
-        use = np.array([pattern[k] for k in pattern], float)
-        x = max(1.0, step * float(((1 - covered[idx]) * n[idx] / use).min()))
-        covered[idx] += x * use / n[idx]
-        out.append((pattern, x))
+    n = np.array([counts[x] for x in lengths])
+    at, rest, out = {int(x): i for i, x in enumerate(lengths)}, n.copy(), []
+    while rest.any() and (rounds is None or len(out) < rounds):
+        left = np.flatnonzero(rest)
+        values = lengths[left] / capacity * np.exp(-rate * (1 - rest[left] / n[left]))
+        pattern = dict(best_pattern(lengths[left], values, capacity, rest[left]))
+        times = min(int(rest[at[k]]) // v for k, v in pattern.items())
+        for k, v in pattern.items():
+            rest[at[k]] -= times * v
+        out.append((pattern, times))
     return out
 
 
@@ -212,22 +212,25 @@ def best_fit(rest: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 60) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences): a packing of the whole histogram."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int | None = None) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, how many such sequences): a packing of the whole histogram.
+
+    What a limit on the rounds leaves over is placed best fit; if best fit alone takes fewer sequences, it is the plan.
+    """
     rest = Counter({k: v for k, v in counts.items() if k < capacity})
     out: list[tuple[tuple[int, ...], int]] = [((capacity,), counts[capacity])] if counts.get(capacity) else []
     if rest:
-        for pattern, x in sorted(fractional(dict(rest), capacity, rounds), key=lambda p: -p[1]):
-            times = min(int(x + 1e-9), *(rest[k] // v for k, v in pattern.items()))
-            if times > 0:
-                out.append((tuple(sorted((k for k, v in pattern.items() for _ in range(v)), reverse=True)), times))
-                for k, v in pattern.items():
-                    rest[k] -= times * v
-        out += best_fit(+rest, capacity)
+        alone, made = best_fit(rest, capacity), []
+        for pattern, times in covering(dict(rest), capacity, rounds):
+            made.append((tuple(sorted((k for k, v in pattern.items() for _ in range(v)), reverse=True)), times))
+            for k, v in pattern.items():
+                rest[k] -= times * v
+        made += best_fit(+rest, capacity) if +rest else []
+        out += min(made, alone, key=lambda p: sum(times for _, times in p))
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, rounds: int = 60) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, rounds: int | None = None) -> DataFrame:
     """docs(doc_id, text) as pieces with their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece of END_ID alone; equal rows are packed each for itself; other columns are
