@@ -153,3 +153,13 @@ def test_embeddings(spark):
         assert {q.vec_id: (q.n_links, q.component_id) for q in got} == want and len(got) == len(rows)
         assert all(q.kept == (q.vec_id == q.component_id) for q in got)
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_lone_vectors_away_from_their_centroids_are_met(spark, monkeypatch):
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    monkeypatch.setattr(embeddings, "spherical_k_means", lambda x, k: np.array([at(0), at(60)]))
+    table = lambda *degrees: spark.createDataFrame([(i, at(d), 0) for i, d in enumerate(degrees)], "vec_id long, embedding array<double>, label int")
+    both = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table(29, 31), cell=1).collect()}
+    assert both == {0: (1, 0), 1: (1, 0)}
+    one = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table(29, 31, -20), cell=1).collect()}
+    assert one == {0: (1, 0), 1: (1, 0), 2: (0, 2)}

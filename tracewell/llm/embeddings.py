@@ -149,7 +149,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.int32()), pa.array(angles, pa.float64())], [*b.schema.names, "cell", "angle"])
 
     homes = cut_lineage(reps.select("id", "copies", "label", "dim", "embedding").mapInArrow(at_home, f"{fields}, cell int, angle double"))
-    radius = {(r["label"], r["dim"], r["cell"]): (r["far"], r["n"]) for r in homes.groupBy("label", "dim", "cell").agg(F.max("angle").alias("far"), F.count("*").alias("n")).where("n > 1").collect()} if total else {}
+    radius = {(r["label"], r["dim"], r["cell"]): (r["far"], r["n"]) for r in homes.groupBy("label", "dim", "cell").agg(F.max("angle").alias("far"), F.count("*").alias("n")).where("n > 1 OR far > 0").collect()} if total else {}
     cells_of = vectors.sparkSession.sparkContext.broadcast(radius)
     reach = float(np.arccos(threshold)) + 1e-6
 
@@ -164,7 +164,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
                 c = shared.value.get(key)
                 angle = np.arccos(np.clip(unit(b.column(4).take(pa.array(own))) @ c.T, -1, 1)) if c is not None else np.zeros((len(own), 1))
                 for k in range(angle.shape[1]):
-                    far, n = cells_of.value.get((*key, k), (0.0, 1))
+                    far, n = cells_of.value.get((*key, k), (0.0, 1))  # not there: empty, or one vector at the centroid
                     split, home = -(-n // BLOCK), own[own_cell[own] == k]
                     come = own[(own_cell[own] == k) | (angle[:, k] <= far + reach)]
                     rows += [home, np.repeat(come, split)]
