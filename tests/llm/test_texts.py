@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -127,3 +128,22 @@ def test_extract_odd_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "<article><p>Hello there all of you</p></article>", "v"), (2, "", "w")], "page_id long, html string, text string")
     assert sorted(r.text for r in html_text.extract(pages).collect()) == ["", "", "Hello there all of you"]
     assert html_text.extract(pages.limit(0)).where(F.col("text") != "").count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 8_000, 9_000, 300_000])
+@pytest.mark.parametrize("q", "\"'")
+def test_long_attributes(n, q):
+    long = f"data-props={q}{'b > a hidden ' * (n // 13 + 1)}{q}"
+    text = "This is the text of the page, and it is long enough to be kept as text."
+    aside = "Something quite different that stands beside the text, of some length as well."
+    page = f"<article><p {long}>{text}</p><div {long} class=sidebar><p>{aside}</p></div><div {long} hidden><p>{aside}</p></div></article>"
+    assert html_text.main_text(page) == text
+
+
+def test_quotes_that_never_close():
+    assert [b.text for b in html_text.blocks("<p title=\"a>one two</p><p b='c>three</p>")] == ["one two", "three"]
+    start = time.process_time()
+    for part in ("<p a=\"'>x ", "<p a='\">\"' ", "<i \"'> "):
+        html_text.blocks(part * 100_000 + "'")
+        html_text.blocks(part * 100_000 + "\"'")
+    assert time.process_time() - start < 60

@@ -42,11 +42,12 @@ NONE, MAIN, ASIDE, HEAD = 0, 1, -1, -2
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s>/]*+)((?:[^>\"']++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s>/]*+)([^>]*+)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s>/]*+)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_MARK = re.compile("[>\"']")
+#: Attributes that are read; values of others are passed over.
+_ATTRIBUTE = re.compile(r"\"[^\"]*\"|'[^']*'|(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -67,6 +68,8 @@ def _region(tag: str, attributes: str, outer: int) -> tuple[int, bool]:
     """The kind of region that an element opens, and whether its content is hidden."""
     names: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
+        if not m[1]:
+            continue
         value = m[2] or m[3] or m[4] or ""
         key = m[1].lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -83,6 +86,37 @@ def _region(tag: str, attributes: str, outer: int) -> tuple[int, bool]:
     return outer, False
 
 
+class TagEnds:
+    """Where the tags of a page end: at the first '>' outside quoted values, however long those are.
+
+    If a quote never closes, the tag ends at the first '>' after its name. Every quote is followed once only, so the
+    work is linear in the page, whatever its quotes.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.after = page, {}  # by place of an opening quote: where its tag ends, or -1
+
+    def of(self, at: int) -> int:
+        """The place of the '>' of the tag whose name ends at `at`, or the length of the page."""
+        page, after, opened, end = self.page, self.after, [], -1
+        m = _MARK.search(page, at)
+        while m:
+            k = m.start()
+            if page[k] == ">":
+                end = k
+                break
+            if k in after:
+                end = after[k]
+                break
+            opened.append(k)
+            closing = page.find(page[k], k + 1)
+            m = _MARK.search(page, closing + 1) if closing >= 0 else None
+        after.update(dict.fromkeys(opened, end))
+        if end < 0:
+            end = page.find(">", at)
+        return end if end >= 0 else len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order; those without text are left out."""
     out: list[Block] = []
@@ -111,7 +145,7 @@ def blocks(page: str) -> list[Block]:
             if link_depth is not None:
                 linked += len(decoded.split())
 
-    n = len(page)
+    n, ends = len(page), TagEnds(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -119,12 +153,13 @@ def blocks(page: str) -> list[Block]:
             break
         text(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag:
             if m[0].startswith("<![CDATA[") and not state()[1]:
                 parts.append(m[0][9:].removesuffix("]]>"))
             continue
-        ending, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        end = ends.of(at)
+        ending, attributes, at = bool(m[1]), page[at:end], end + 1
         if tag in RAW:
             if not ending:
                 end = re.compile(rf"</{tag}(?=[\s>/]|\Z)[^>]*>?", re.I).search(page, at)
