@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,17 +146,26 @@ def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT b.item_id, d.doc_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def benchmark_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold an item word for word. Items are broadcast where they are few; else they are met on the hash
-    of their first words."""
+    of their first 24 characters, shorter ones on the hash of all of theirs."""
     items = views.read(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("quote"))
     docs = views.read(spark, sf_dir, "documents").select("doc_id", "text")
     if items.count() <= QUOTE_ROWS:
         met = docs.join(F.broadcast(items), F.contains("text", "quote"))
     else:
-        # a quotation's first 24 characters are one of the document's runs of 24 characters
-        key = lambda c: F.xxhash64(F.substring(c, 1, 24))
-        starts = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 23)), lambda k: F.xxhash64(F.substring(F.col("text"), k, F.lit(24)))))).alias("h"))
-        tied = starts.join(items.withColumn("h", key("quote")), "h").select("doc_id", "item_id", "quote").distinct()
-        met = tied.join(docs, "doc_id").where(F.contains("text", "quote"))
+        # a quotation's first characters, 24 or all it has, are one of the document's runs of so many characters
+        quotes = items.select("quote", F.least(F.length("quote"), F.lit(24)).alias("width")).distinct()
+        quotes = quotes.withColumn("h", F.xxhash64(F.substring("quote", 1, 24)))
+        docs = docs.withColumn("whole", F.xxhash64("text"))
+
+        def runs(width: int) -> DataFrame:
+            fit = docs.where(F.length("text") >= width)
+            hashes = F.transform(F.sequence(F.lit(1), F.length("text") - (width - 1)), lambda k: F.xxhash64(F.substring(F.col("text"), k, F.lit(width))))
+            return fit.select("whole", F.explode(F.array_distinct(hashes)).alias("h"), F.lit(width).alias("width"))
+
+        widths = sorted(r["width"] for r in quotes.select("width").distinct().collect())  # 24 at most
+        starts = reduce(DataFrame.union, map(runs, widths))
+        tied = starts.join(quotes, ["width", "h"]).select("whole", "quote").distinct()
+        met = tied.join(docs, "whole").where(F.contains("text", "quote")).join(items, "quote")
     return met.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).cast("long").alias("start"))
 
 
