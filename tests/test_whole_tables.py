@@ -1,6 +1,7 @@
 """Queries over all rows: paths for large tables against those for small ones, and rows that SQL leaves out."""
 
 from tracewell import catalog
+from tracewell.functions.udfs import _gate
 
 
 def test_quotes_by_hash_as_by_broadcast(spark, tmp_path, monkeypatch):
@@ -13,3 +14,23 @@ def test_quotes_by_hash_as_by_broadcast(spark, tmp_path, monkeypatch):
     for rows in (10_000, 0):
         monkeypatch.setattr(catalog, "QUOTE_ROWS", rows)
         assert sorted(map(tuple, catalog.benchmark_in_documents(spark, str(tmp_path)).collect()), key=repr) == want
+
+
+def test_gates_answer_for_runs_with_numbers(spark, tmp_path):
+    """Brute force: the gate on the one span that each run cites, and the mutations that the text doesn't matter for."""
+    first = [f"{w} report of the year counted{' 66' if k % 2 else ' all'}" for k, w in enumerate("One Two Three Four Five Six Seven Eight Nine Ten".split())]
+    seconds = ["300 people of the town were there", "Many people of the town were there"]
+    docs = [(i, first[i % 10] + f" of {'abcdefghijk'[i // 10]} 66" * (i % 3 == 0), seconds[i % 4 // 2]) for i in range(1, 101)]
+    rows = [(i, ". ".join([p0, p1, "A third sentence of the text", "A fourth sentence of the text"])) for i, p0, p1 in docs]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fixed = {1: "not_reachable_from_step", 2: "artifact_unknown", 3: "self_citation", 4: "span_out_of_range", 5: "no_quoted_span", 8: "assumption_undeclared"}
+    want = {}
+    for (i, p0, p1), (_, inv, _) in zip(docs, docs[1:], strict=False):
+        if inv not in rows[i - 1][1]:
+            start = 1 if i % 9 == 6 else 0
+            want[str(i)] = fixed.get(i % 9) or _gate(f"{p0} {p1} {inv}", start, len(p0), p0[start:] + "x" * (i % 9 == 7))
+    assert len(want) > 90 and {"ok", "span_cuts_a_number", "span_cuts_a_word", "span_mismatch"} <= set(want.values())
+    got = catalog.queries()["hop_gate_reasons_all"](spark, str(tmp_path)).collect()
+    assert {r.run_id: r.reason for r in got} == want and len(got) == len(want)
+    shown = {r.run_id: r.reason for r in catalog.hop_gate_reasons(spark, str(tmp_path)).collect()}
+    assert shown.items() < want.items() and "span_cuts_a_number" not in shown.values()

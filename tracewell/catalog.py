@@ -241,6 +241,12 @@ def hop_gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.verify(runs).where("entry_id = 'answer.c1.e1'").join(numbered, "run_id", "left_anti").select("run_id", "reason")
 
 
+@query()
+def hop_gate_reasons_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gates' answers to spoilt entries, of all runs; SQL can't tell where a number is cut."""
+    return gates.verify(_hops(spark, sf_dir, mutated=True)).where("entry_id = 'answer.c1.e1'").select("run_id", "reason")
+
+
 @query(_HOP + "SELECT run_id, 'answer.c1' AS claim_id, 'summary.c1' AS cites FROM h UNION ALL SELECT run_id, 'answer.c2', CASE WHEN odd THEN 'summary.c3' ELSE 'summary.c2' END FROM h")
 def hop_citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _hops(spark, sf_dir)
