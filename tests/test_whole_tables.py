@@ -34,3 +34,10 @@ def test_gates_answer_for_runs_with_numbers(spark, tmp_path):
     assert {r.run_id: r.reason for r in got} == want and len(got) == len(want)
     shown = {r.run_id: r.reason for r in catalog.hop_gate_reasons(spark, str(tmp_path)).collect()}
     assert shown.items() < want.items() and "span_cuts_a_number" not in shown.values()
+
+
+def test_normal_form_of_all_documents(spark, tmp_path):
+    docs = [(1, "  The \u201cQuick\u201d \n fox\u2014jumps\u00ad "), (2, "Plain  TEXT"), (3, None), (4, ""), (5, "cafe\u0301 \u65e5\u672c")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.normal for r in catalog.queries()["doc_normalized"](spark, str(tmp_path)).collect()}
+    assert got == {1: 'the "quick" fox-jumps', 2: "plain text", 3: None, 4: "", 5: "caf\u00e9 \u65e5\u672c"}

@@ -135,6 +135,12 @@ def doc_normalized_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", normal_form("text").alias("normal"))
 
 
+@query()
+def doc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal form of every document; SQL can't fold Unicode so. Null text: null."""
+    return views.read(spark, sf_dir, "documents").select("doc_id", normal_form("text").alias("normal"))
+
+
 @query()
 def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document by its span; the rule for abbreviations looks back, which SQL can't."""
