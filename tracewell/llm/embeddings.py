@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import components, cut_lineage, mix64, table
+from tracewell.llm.common import components, cut_lineage, mapped, mix64, table
 
 THRESHOLD = 0.93
 #: Vectors that a cell should have, cells of all labels together, and vectors that centroids are fitted on.
@@ -148,7 +148,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
                     angles[own] = np.arccos(np.clip(near.max(1), -1, 1))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.int32()), pa.array(angles, pa.float64())], [*b.schema.names, "cell", "angle"])
 
-    homes = cut_lineage(reps.select("id", "copies", "label", "dim", "embedding").mapInArrow(at_home, f"{fields}, cell int, angle double"))
+    homes = cut_lineage(mapped(reps.select("id", "copies", "label", "dim", "embedding"), at_home, f"{fields}, cell int, angle double"))
     radius = {(r["label"], r["dim"], r["cell"]): (r["far"], r["n"]) for r in homes.groupBy("label", "dim", "cell").agg(F.max("angle").alias("far"), F.count("*").alias("n")).where("n > 1 OR far > 0").collect()} if total else {}
     cells_of = vectors.sparkSession.sparkContext.broadcast(radius)
     reach = float(np.arccos(threshold)) + 1e-6
@@ -176,8 +176,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
                 part = slice(lo, lo + 20_000)
                 yield pa.RecordBatch.from_arrays([*(col.take(pa.array(rows[part])) for col in b.columns[:5]), *(pa.array(x[part], pa.int32()) for x in (cells, blocks, roles))], names)
 
-    met = homes.mapInArrow(visits, f"{fields}, cell int, hb int, role int").repartition(*_BY).sortWithinPartitions(*_BY, "role")
-    hits = cut_lineage(met.mapInArrow(_products(threshold), "id long, links long, root long"))
+    met = mapped(homes, visits, f"{fields}, cell int, hb int, role int").repartition(*_BY).sortWithinPartitions(*_BY, "role")
+    hits = cut_lineage(mapped(met, _products(threshold), "id long, links long, root long"))
     links = hits.groupBy("id").agg(F.sum("links").alias("links"))
     tied = components(hits.select(F.col("id").alias("u"), F.col("root").alias("v")))
     whole = reps.select(*name, "id", "copies").join(links, "id", "left").join(tied, "id", "left")

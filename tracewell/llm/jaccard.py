@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import components, cut_lineage, grouped, keyed, mix64, table, texts
+from tracewell.llm.common import Memo, components, cut_lineage, grouped, keyed, mapped, mix64, plain, table, texts
 
 WORDS, THRESHOLD = 5, 0.8
 #: Least probability that a pair at the threshold shares a band, and the number of hashes to spend.
@@ -26,7 +26,6 @@ RECALL, HASHES = 0.9999, 128
 BLOCK = 256
 #: Rows up to which the tied representatives are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
-MEMO_WORDS = 400_000
 
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -49,21 +48,13 @@ class Shingler:
     """
 
     def __init__(self, n: int = WORDS):
-        self.n, self.memo = n, {}
+        self.n, self.memo = n, Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")))
 
     def __call__(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.lower())
         if not words:
             return np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), seed=7)], np.uint64)
-        memo = self.memo
-        got = list(map(memo.get, words))
-        if None in got:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            for w in {w for w, g in zip(words, got, strict=True) if g is None}:
-                memo[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-            got = [g if g is not None else memo[w] for w, g in zip(words, got, strict=True)]
-        h = np.array(got, np.uint64)
+        h = np.array(self.memo.of(words), np.uint64)
         n = min(self.n, len(h))
         sh = np.zeros(len(h) - n + 1, np.uint64)
         for k in range(n):
@@ -101,7 +92,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sig.append(signature(s, bands, rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n_grams", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, n_grams long, bands array<long>")
+    return mapped(docs, run, "doc_id long, h1 long, h2 long, n_grams long, bands array<long>")
 
 
 def linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -178,7 +169,7 @@ def verify(sets: DataFrame, threshold: float) -> DataFrame:
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[some], pa.int64()), pa.array(links[some].astype(np.int64), pa.int64()), pa.array(ids[order][roots[place[some]]], pa.int64())], ["id", "links", "root"])
 
-    return sets.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj").mapInArrow(run, "id long, links long, root long")
+    return mapped(sets.repartition("g", "bi", "bj").sortWithinPartitions("g", "bi", "bj"), run, "id long, links long, root long")
 
 
 def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
@@ -223,7 +214,7 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
-    sets = found.mapInArrow(spread, "g long, bi int, bj int, side int, id long, copies long, grams binary")
+    sets = mapped(found, spread, "g long, bi int, bj int, side int, id long, copies long, grams binary")
     hits = cut_lineage(verify(sets, threshold))
     classes = components(hits.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = hits.groupBy("id").agg(F.sum("links").alias("links"))
@@ -234,11 +225,12 @@ def join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay: one of each class, that with the smallest doc_id. Every row counts for itself: of
-    repeated rows one stays, and rows without a doc_id are compared too and come first."""
-    wide = keyed(docs)
+    repeated rows one stays, and rows without a doc_id are compared too and come first. Null text: empty. An empty
+    table gives an empty one; other columns may have any names."""
+    wide = keyed(plain(docs, "doc_id", "text"))
     rows = join(wide.select(F.col("_row").alias("doc_id"), "text"), **options)
     kept = rows.where("doc_id = class_id").select(F.col("doc_id").alias("_row"))
-    return wide.join(kept, "_row", "left_semi").select(docs.columns)
+    return wide.join(kept, "_row", "left_semi").drop("_row").toDF(*docs.columns)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import added, table, texts
+from tracewell.llm.common import added, mapped, table, texts
 from tracewell.llm.labelled import LABELLED_ROWS, remainder, sample
 
 THRESHOLD = 0.3
@@ -108,7 +108,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Discriminant:
     """The discriminant of at most `rows` labelled documents that are not held out."""
-    got = sample(docs, labels, "quality", FOLDS, HELD, rows).mapInArrow(_features, "x array<double>, y int").collect()
+    got = mapped(sample(docs, labels, "quality", FOLDS, HELD, rows), _features, "x array<double>, y int").collect()
     return Discriminant.fit(np.array([r["x"] for r in got]).reshape(len(got), FEATURES), np.array([r["y"] for r in got]))
 
 
@@ -122,10 +122,10 @@ def score(docs: DataFrame, model: Discriminant) -> DataFrame:
             x = np.array([statistics(t) for t in texts(b.column(at))]).reshape(b.num_rows, FEATURES)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(x), pa.float64())], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, added(docs, score=T.DoubleType()))
+    return mapped(docs, run, added(docs, score=T.DoubleType()))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import added, cut_lineage, table, texts
+from tracewell.llm.common import Memo, added, cut_lineage, mapped, table, texts
 from tracewell.llm.labelled import LABELLED_ROWS, remainder, sample
 
 THRESHOLD = 0.3
@@ -34,7 +34,6 @@ KEEP, RESEMBLE, APART, AGAIN, DOUBLE = 0.05, 0.4, 0.1, 0.3, 1.2
 STARTS = (4, 5, 6)
 #: A feature counts if at least so many labelled texts of label 1 hold it, and that share of those that hold it.
 LEAST, PURE = 4, 0.5
-MEMO_WORDS = 400_000
 
 _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…«»“”„’‘¡¿—–"
 _AMONG = re.compile(r"[^\W\d_].*[\d@$!|+€£(¡*].*[^\W_]|[\d@$!|+€£(¡].*[^\W\d_]")
@@ -65,7 +64,7 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def language_model(docs: DataFrame) -> np.ndarray:
     """Smoothed log probabilities [two letters before, letter] over the characters of all documents: a table of fixed size."""
-    rows = docs.select("text").mapInArrow(_trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = mapped(docs.select("text"), _trigrams, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(_SYMBOLS**3)
     for r in rows:
         n[r["code"]] = r["n"]
@@ -137,7 +136,7 @@ class Reader:
     """Words of texts to features, by the units they stand for; what a word gave is kept."""
 
     def __init__(self, lm: np.ndarray, known: dict[str, int] | None = None):
-        self.restorer, self.known, self.memo = Restorer(lm), known, {}
+        self.restorer, self.known, self.memo = Restorer(lm), known, Memo(self._word)
         self.longest = max(map(len, known or ()), default=0)
 
     def _word(self, word: str) -> tuple:
@@ -146,16 +145,8 @@ class Reader:
 
     def __call__(self, text: str) -> set:
         low = text.lower()
-        words = low.split()
-        got = list(map(self.memo.get, words))
-        if None in got:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            for w in {w for w, g in zip(words, got, strict=True) if g is None}:
-                self.memo[w] = self._word(w)
-            got = [g if g is not None else self.memo[w] for w, g in zip(words, got, strict=True)]
         found = set()
-        for g in set(got):
+        for g in set(self.memo.of(low.split())):
             found.update(g)
         for m in _SPACED.finditer(low):
             for f in self.spaced(m[0]):
@@ -218,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
             pairs = [(f, y) for t, y in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True) for f in reader(t)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int32())], ["f", "y"])
 
-    counts = got.mapInArrow(all_features, "f string, y int").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
+    counts = mapped(got, all_features, "f string, y int").groupBy("f").agg(F.count("*").alias("n"), F.sum("y").alias("t"))
     kept = [r["f"] for r in counts.where((F.col("t") >= LEAST) & (F.col("t") >= PURE * F.col("n"))).select("f").collect()]  # of a bounded sample
     known = {f: i for i, f in enumerate(sorted(kept))}
 
@@ -227,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(reader(t)) for t in texts(b.column(0))], pa.list_(pa.int32())), b.column(1)], ["f", "y"])
 
-    rows_ = got.mapInArrow(known_features, "f array<int>, y int").collect()
+    rows_ = mapped(got, known_features, "f array<int>, y int").collect()
     base = (total["t"] + 0.5) / (total["n"] + 1.0)
     if not known or not rows_:
         return Model(lm, bias=float(np.log(base / (1 - base))))
@@ -249,10 +240,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = 1 / (1 + np.exp(-np.clip(np.array(odds, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, added(docs, score=T.DoubleType()))
+    return mapped(docs, run, added(docs, score=T.DoubleType()))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
