@@ -22,13 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import added, grouped, stored, table, texts
+from tracewell.llm.common import Memo, added, grouped, mapped, stored, table, texts
 
 MODEL = "piece_bpe_32k.model"
 #: Characters of a chunk; a longer text is giant.
 CHUNK = 32_768
 SPACE = "▁"
-MEMO_WORDS = 400_000
+#: Pairs of pieces whose weight a worker remembers.
+PAIRS = 300_000
+#: Chunks whose matrices one task combines before a whole text's are put together.
+BLOCK = 64
 _FAR = float("-inf")
 State = tuple[int, int]  # the piece over a cut (START at the beginning), and how far it reaches beyond it
 START = -1
@@ -73,7 +76,7 @@ class Pieces:
         #: Whether words can be cut in front of a space: no piece has one behind another character.
         self.by_words = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self.word)
 
     def normal(self, text: str) -> str:
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE) if text else ""
@@ -105,7 +108,7 @@ class Pieces:
         if known is None:
             x, y = self.texts[a], self.texts[b]
             known = self.pairs[a, b] = self.merged(x + y) == [x, y]
-            if len(self.pairs) > 2 * MEMO_WORDS:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
         return known
 
@@ -183,19 +186,15 @@ class Pieces:
 
     def words(self, words: list[str]) -> bytes:
         """The ids of words that no piece leaves, one after another."""
-        found = list(map(self.memo.get, words))
-        if None in found:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            for w in {w for w, f in zip(words, found, strict=True) if f is None}:
-                self.memo[w] = self.word(w)
-            found = [f if f is not None else self.memo[w] for w, f in zip(words, found, strict=True)]
-        return b"".join(found)
+        return b"".join(self.memo.of(words))
+
+    def surfaces(self, ids: np.ndarray) -> bytes:
+        surface = self.surface
+        return b"".join([surface[i] for i in ids.tolist()])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids. Bytes that are no UTF-8 become the replacement character; a leading dummy space goes."""
-        surface = self.surface
-        out = b"".join([surface[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        out = self.surfaces(ids).decode("utf-8", "replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
@@ -292,15 +291,15 @@ def combine(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def cuts(matrices: list[Matrix]) -> list[State]:
-    """The states at the start of every chunk and at the end, of the best path through all of them."""
-    vectors: list[Matrix] = [{(START, 0): {(START, 0): 0.0}}]
+def cuts(matrices: list[Matrix], first: State = (START, 0), final: State | None = None) -> list[State]:
+    """The states at the start of every chunk and at the end, of the best path from `first` (to `final`, if it is known)."""
+    vectors: list[Matrix] = [{first: {first: 0.0}}]
     for m in matrices:
         vectors.append(combine(vectors[-1], m))
     weights = [next(iter(v.values()), {}) for v in vectors]
     if not weights[-1]:
         raise ValueError("a text has no segmentation")
-    at = max(weights[-1], key=lambda s: (weights[-1][s], s))
+    at = final or max(weights[-1], key=lambda s: (weights[-1][s], s))
     path = [at]
     for m, w in zip(matrices[::-1], weights[-2::-1], strict=True):
         at = max((s for s in w if at in m.get(s, {})), key=lambda s: (w[s] + m[s][at], s))
@@ -337,32 +336,53 @@ def _chunks(path: str, chunk: int):
     return run
 
 
+_MATRIX = "m array<struct<a:int,ar:int,b:int,br:int,w:double>>"
+_MATRIX_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("ar", pa.int32()), ("b", pa.int32()), ("br", pa.int32()), ("w", pa.float64())]))
+
+
+def _entries(m: Matrix) -> list[dict]:
+    return [{"a": s[0], "ar": s[1], "b": e[0], "br": e[1], "w": w} for s, row in m.items() for e, w in row.items()]
+
+
+def _matrix(entries: list[dict]) -> Matrix:
+    m: Matrix = {}
+    for x in entries:
+        m.setdefault((x["a"], x["ar"]), {})[x["b"], x["br"]] = x["w"]
+    return m
+
+
 def _transfers(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
         for b in batches:
             key, k, part, lo, hi, final = (c.to_pylist() for c in b.columns)
-            rows = []
-            for j in range(b.num_rows):
-                m = transfer(p, part[j], lo[j], hi[j], k[j] == 0, final[j])
-                rows.append([{"a": s[0], "ar": s[1], "b": e[0], "br": e[1], "w": w} for s, row in m.items() for e, w in row.items()])
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("ar", pa.int32()), ("b", pa.int32()), ("br", pa.int32()), ("w", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, kind)], ["key", "k", "m"])
+            rows = [_entries(transfer(p, part[j], lo[j], hi[j], k[j] == 0, final[j])) for j in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i // BLOCK for i in k], pa.int32()), pa.array(rows, _MATRIX_TYPE)], ["key", "k", "block", "m"])
 
     return run
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in grouped(batches, ["key"]):
-        matrices: list[Matrix] = []
-        for entries in t.column("m").to_pylist():
-            m: Matrix = {}
-            for x in entries:
-                m.setdefault((x["a"], x["ar"]), {})[x["b"], x["br"]] = x["w"]
-            matrices.append(m)
-        path = np.array(cuts(matrices), np.int32)
-        cols = [t.column("key").combine_chunks(), t.column("k").combine_chunks(), *(pa.array(x, pa.int32()) for x in (path[:-1, 0], path[:-1, 1], path[1:, 0], path[1:, 1]))]
-        yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], ["key", "k", "a", "ar", "b", "br"])
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The product of each block's matrices, sorted by (key, block, k)."""
+    for t in grouped(batches, ["key", "block"]):
+        m, *rest = map(_matrix, t.column("m").to_pylist())
+        for x in rest:
+            m = combine(m, x)
+        yield pa.RecordBatch.from_arrays([pa.array([t.column("key")[0].as_py()], pa.string()), pa.array([t.column("block")[0].as_py()], pa.int32()), pa.array([_entries(m)], _MATRIX_TYPE)], ["key", "block", "m"])
+
+
+def _states(by: str, inner: bool):
+    """The states at either end of each row's stretch: of the blocks of a text, or of a block's chunks, whose outer
+    states are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, ["key", "block"] if inner else ["key"]):
+            ends = [((t.column(a)[0].as_py()), t.column(r)[0].as_py()) for a, r in (("a0", "ar0"), ("b0", "br0"))] if inner else [(START, 0), None]
+            path = np.array(cuts([_matrix(x) for x in t.column("m").to_pylist()], *ends), np.int32)
+            cols = [t.column("key").combine_chunks(), t.column(by).combine_chunks(), *(pa.array(x, pa.int32()) for x in (path[:-1, 0], path[:-1, 1], path[1:, 0], path[1:, 1]))]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], ["key", by, "a", "ar", "b", "br"])
+
+    return run
 
 
 def _traces(path: str):
@@ -376,15 +396,34 @@ def _traces(path: str):
     return run
 
 
+def _giants(big: DataFrame, path: str, chunk: int) -> DataFrame:
+    """(key, k, ids) of big(_key, text): the ids of every chunk of the distinct texts.
+
+    Matrices are combined by blocks of chunks, then by texts; the states found so are handed back to the blocks and
+    from there to the chunks, so no task needs all chunks of a text.
+    """
+    cut = stored(mapped(big.select("_key", "text").dropDuplicates(["_key"]), _chunks(path, chunk), "key string, k int, part string, lo int, hi int, final boolean").repartition("key", "k"))
+    matrices = stored(mapped(cut, _transfers(path), f"key string, k int, block int, {_MATRIX}"))
+    state = "a int, ar int, b int, br int"
+    blocks = mapped(matrices.repartition("key", "block").sortWithinPartitions("key", "block", "k"), _combined, f"key string, block int, {_MATRIX}")
+    outer = mapped(blocks.repartition("key").sortWithinPartitions("key", "block"), _states("block", False), f"key string, block int, {state}")
+    outer = outer.withColumnsRenamed({c: f"{c}0" for c in ("a", "ar", "b", "br")})
+    within = matrices.join(outer, ["key", "block"]).repartition("key", "block").sortWithinPartitions("key", "block", "k")
+    inner = mapped(within, _states("k", True), f"key string, k int, {state}")
+    return mapped(cut.join(inner, ["key", "k"]).select("key", "k", "part", "lo", "hi", "a", "ar", "b", "br"), _traces(path), "key string, k int, ids array<int>")
+
+
 def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """docs(text, ...) with `ids`, an array of ints (any column of that name goes).
 
-    Null text: empty, which has no ids. Every row stays, repeated ones too. Only texts longer than a chunk are
-    shuffled, a chunk a row; equal giant texts are encoded once.
+    Null text: empty, which has no ids. Every row stays, repeated ones too; an empty table gives an empty one; other
+    columns may have any names. Ties between segmentations of a BPE model can't be: one alone has weight 0; of a
+    unigram model's, the one that ends in the larger piece ids wins. Only texts longer than a chunk are shuffled, a
+    chunk a row; equal giant texts are encoded once.
     """
     path = path or model_path()
     docs = docs.drop("ids")
-    at = docs.columns.index("text")
+    at, key = docs.columns.index("text"), _unused(docs, "key")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
@@ -395,14 +434,17 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
 
     giant = F.length(F.coalesce("text", F.lit(""))) > chunk
-    small = docs.where(~giant).mapInArrow(whole, added(docs, ids=T.ArrayType(T.IntegerType())))
-    big = docs.where(giant).withColumn("_key", F.sha2("text", 256))
-    cut = stored(big.select("_key", "text").dropDuplicates(["_key"]).mapInArrow(_chunks(path, chunk), "key string, k int, part string, lo int, hi int, final boolean").repartition("key", "k"))
-    matrices = cut.mapInArrow(_transfers(path), "key string, k int, m array<struct<a:int,ar:int,b:int,br:int,w:double>>")
-    path_ = matrices.repartition("key").sortWithinPartitions("key", "k").mapInArrow(_scan, "key string, k int, a int, ar int, b int, br int")
-    ids = cut.join(path_, ["key", "k"]).select("key", "k", "part", "lo", "hi", "a", "ar", "b", "br").mapInArrow(_traces(path), "key string, k int, ids array<int>")
-    joined = ids.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.union(big.join(joined.withColumnRenamed("key", "_key"), "_key").select(*docs.columns, "ids"))
+    small = mapped(docs.where(~giant), whole, added(docs, ids=T.ArrayType(T.IntegerType())))
+    big = docs.where(giant).withColumn(key, F.sha2("text", 256))
+    ids = _giants(big.select(F.col(key).alias("_key"), "text"), path, chunk)
+    joined = ids.groupBy(F.col("key").alias(key)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return small.union(big.join(joined, key).select(*docs.columns, "ids"))
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -418,22 +460,64 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             out = [p.decode(x.values.to_numpy()) if x.is_valid else "" for x in column]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, added(encoded, decoded=T.StringType()))
+    return mapped(encoded, run, added(encoded, decoded=T.StringType()))
+
+
+_DIGEST = "n_ids long, ids_crc32 long, decoded_sha256 string"
+_DIGEST_TYPES = (pa.int64(), pa.int64(), pa.string())
+
+
+def digest(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """docs(doc_id, text) as (doc_id, n_chars, n_ids, ids_crc32, decoded_sha256, round_trip): what encode() and
+    decode() give of every text, without carrying ids and texts any further.
+
+    Null text: empty. Every row stays, repeated ones and null ids too. Short texts are encoded, decoded and digested
+    by one worker; of giant ones the chunks' ids are decoded in turn, so no worker holds a giant text.
+    """
+    path = path or model_path()
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces_of(path)
+        for b in batches:
+            rows = []
+            for text in texts(b.column(1)):
+                raw = p.encode(text)
+                decoded = p.decode(np.frombuffer(raw, "<i4"))
+                rows.append((len(text), len(raw) // 4, zlib.crc32(raw), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), *_DIGEST_TYPES, pa.bool_()), strict=True))], ["doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks sorted by (key, k), digested as they come."""
+        p, key = pieces_of(path), None
 
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((key, n, crc, sha.hexdigest()), (pa.string(), *_DIGEST_TYPES), strict=True)], ["key", "n_ids", "ids_crc32", "decoded_sha256"])
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for doc, text, ids, decoded in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2), texts(b.column(3)), strict=True):
-            raw = ids.values.to_numpy().astype("<u4").tobytes() if ids.is_valid else b""
-            rows.append((doc, len(text), len(raw) // 4, zlib.crc32(raw), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        cols = list(zip(*rows, strict=True)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
+        for b in batches:
+            for name, ids in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                if name != key:
+                    if key is not None:
+                        yield done()
+                    key, n, crc, sha = name, 0, 0, hashlib.sha256()
+                raw = ids.values.to_numpy().astype("<u4")
+                crc = zlib.crc32(raw.tobytes(), crc)
+                out = p.surfaces(raw)
+                sha.update((out[1:] if not n and p.prefix and out.startswith(b" ") else out).decode("utf-8", "replace").encode())
+                n += len(raw)
+        if key is not None:
+            yield done()
+
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    giant = F.length(F.coalesce("text", F.lit(""))) > chunk
+    small = mapped(docs.where(~giant), whole, f"doc_id long, n_chars long, {_DIGEST}, round_trip boolean")
+    big = docs.where(giant).withColumn("key", F.sha2("text", 256))
+    ids = _giants(big.select(F.col("key").alias("_key"), "text"), path, chunk).repartition("key").sortWithinPartitions("key", "k")
+    found = mapped(ids, chunks, f"key string, {_DIGEST}")
+    large = big.select("doc_id", "key", F.length("text").cast("long").alias("n_chars")).join(found, "key")
+    return small.union(large.select("doc_id", "n_chars", "n_ids", "ids_crc32", "decoded_sha256", (F.col("decoded_sha256") == F.col("key")).alias("round_trip")))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: its ids by number and checksum, and what they decode to."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    both = decode(encode(docs)).select("doc_id", "text", "ids", "decoded")
-    return both.mapInArrow(_digest, "doc_id long, n_chars long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return digest(table(spark, sf_dir, "documents"))
