@@ -75,8 +75,9 @@ class Pieces:
         self.surface = [bytes([int(t[3:5], 16)]) if k == 6 else b"" if k == 3 else " ⁇ ".encode() if k == 2 else t.replace(SPACE, " ").encode() for t, k in zip(self.texts, kinds, strict=True)]
         #: Whether words can be cut in front of a space: no piece has one behind another character.
         self.by_words = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
+        self.stretch = self._stretches() if self.by_words else None
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.memo = Memo(self.word)
+        self.memo = Memo(self.word, self.sorted_words if self.bpe else None)
 
     def normal(self, text: str) -> str:
         return (SPACE if self.prefix else "") + text.replace(" ", SPACE) if text else ""
@@ -177,12 +178,68 @@ class Pieces:
         last, back, _ = self.forward(word, 0, START, len(word))
         return np.array(self.trace(last, back, 0, len(word)), "<u4").tobytes()
 
+    def sorted_words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of sorted words by a BPE model: what two neighbours begin with is passed through once."""
+        ids, pairs, longest, apart = self.ids, self.pairs, self.longest, self.apart
+        last, back, before = [START], [-1], ""  # by place: the last piece of the prefix and its start (-1: no way there)
+        for word in words:
+            k = 0
+            for a, b in zip(before, word, strict=False):
+                if a != b:
+                    break
+                k += 1
+            del last[k + 1 :], back[k + 1 :]
+            for e in range(k + 1, len(word) + 1):
+                found, at = START, -1
+                for s in range(e - 1, max(0, e - longest) - 1, -1):
+                    if s and back[s] < 0:
+                        continue
+                    i = ids.get(word[s:e])
+                    if i is None:
+                        if s < e - 1:
+                            continue
+                        i = -2 - ord(word[s])
+                    if not s:
+                        ok = self.alone(i)
+                    else:
+                        ok = pairs.get((last[s], i))
+                        if ok is None:
+                            ok = apart(last[s], i)
+                    if ok:
+                        found, at = i, s
+                        break
+                last.append(found)
+                back.append(at)
+            before = word
+            yield np.array(self.trace(last, back, 0, len(word)), "<u4").tobytes()
+
+    def encode_all(self, many: list[str]) -> list[bytes]:
+        """encode() of many texts; the words that are new in them are segmented together."""
+        parts = [(self.cut(s) if self.by_words else [s]) if s else [] for s in map(self.normal, many)]
+        self.memo.learn({w for part in parts for w in part})
+        return [b"".join(map(self.memo.__getitem__, part)) for part in parts]
+
     def encode(self, text: str) -> bytes:
         """The ids of a text of one chunk, as little-endian unsigned 32-bit integers."""
         s = self.normal(text)
         if not s:
             return b""
-        return self.words(segments(s) if self.by_words else [s])
+        return self.words(self.cut(s) if self.by_words else [s])
+
+    def cut(self, s: str) -> list[str]:
+        """Stretches of a text that no piece leaves."""
+        return self.stretch.findall(s) if self.stretch else segments(s)
+
+    def _stretches(self) -> re.Pattern | None:
+        """Runs of letters and runs of others, with the spaces before them, if no piece holds both; numerals that
+        pieces join to others count as others."""
+        both = re.compile(f"[^\\W\\d_](?=[^{SPACE}])[\\W\\d_]|(?=[^{SPACE}])[\\W\\d_][^\\W\\d_]")
+        joined = {c for t in self.ids for m in both.finditer(t) for c in m[0] if re.match(r"[^\W\d_]", c)}
+        if any(c.isalpha() for c in joined):
+            return None
+        letter = "[^\\W\\d_" + re.escape("".join(sorted(joined))) + "]"
+        found = re.compile(f"{SPACE}*{letter}+|{SPACE}*(?:(?!{letter})[^{SPACE}])+|{SPACE}+")
+        return found if all(len(found.findall(t)) == 1 for t in self.ids) else None
 
     def words(self, words: list[str]) -> bytes:
         """The ids of words that no piece leaves, one after another."""
@@ -315,7 +372,7 @@ def traced(p: Pieces, text: str, lo: int, hi: int, start: State, end: State) ->
     if sure := word_cuts(p, text, lo, hi):
         a, b = sure
         last, back, _ = p.forward(text[:a], at, start[0], a)
-        within = np.frombuffer(p.words(segments(text[a:b])), "<u4").tolist()
+        within = np.frombuffer(p.words(p.cut(text[a:b])), "<u4").tolist()
         return p.trace(last, back, at, a) + within + traced(p, text, b, hi, (START, 0), end)
     last, back, _ = p.forward(text, at, start[0], hi)
     return p.trace(last, back, at, hi + end[1])
@@ -428,7 +485,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
         for b in batches:
-            raw = [p.encode(t) for t in texts(b.column(at))]
+            raw = p.encode_all(texts(b.column(at)))
             ends = np.cumsum([0, *(len(r) // 4 for r in raw)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
@@ -479,9 +536,8 @@ def digest(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
         for b in batches:
-            rows = []
-            for text in texts(b.column(1)):
-                raw = p.encode(text)
+            rows, many = [], texts(b.column(1))
+            for text, raw in zip(many, p.encode_all(many), strict=True):
                 decoded = p.decode(np.frombuffer(raw, "<i4"))
                 rows.append((len(text), len(raw) // 4, zlib.crc32(raw), hashlib.sha256(decoded.encode()).hexdigest(), decoded == text))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
