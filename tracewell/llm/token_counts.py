@@ -7,6 +7,7 @@ longest prefix that is in the trie already; its count is stored at its end and r
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import added, table, texts
+from tracewell.llm.common import Memo, added, mapped, table, texts
 from tracewell.llm.sentence_pieces import START, Pieces, model_path, pieces_of, segments
 
 #: Nodes of a worker's trie; it starts anew beyond them, so its memory is bounded.
 NODES = 300_000
-#: Longer pre-tokens (runs without a space) don't enter the trie; they are counted by themselves.
-LONGEST = 64
 _FAR = float("-inf")
+Score = tuple[float, int, int]  # the best weight of a prefix, its last piece, its number of pieces
 
 
 class Trie:
@@ -29,54 +29,57 @@ class Trie:
 
     def __init__(self, pieces: Pieces, nodes: int = NODES):
         self.pieces, self.most = pieces, nodes
-        self.terminal: dict[str, int] = {}
+        self.terminal = Memo(self.insert)
         self._clear()
 
     def _clear(self) -> None:
         self.children: list[dict[str, int] | None] = [None]
-        self.last, self.best, self.count = [START], [0.0], [0]
-
-    def _step(self, word: str, path: list[int]) -> int:
-        """The node behind path[-1] for the next character of word: its forward score from those of its prefixes."""
-        p, e = self.pieces, len(path)
-        top, last, count = _FAR, START, 0
-        for s in range(e - 1, max(0, e - p.longest) - 1, -1):
-            node = path[s]
-            w = self.best[node]
-            if w == _FAR:
+        self.scores: list[Score] = [(0.0, START, 0)]
+
+    def _step(self, word: str, e: int, before: deque[Score]) -> Score:
+        """The forward score of word[:e] from those of its prefixes, the longest piece's length of them at most."""
+        p = self.pieces
+        found = (_FAR, START, 0)
+        for k in range(1, len(before) + 1):
+            best, last, count = before[-k]
+            if best == _FAR:
                 continue
-            i = p.piece(word[s:e])
+            i = p.piece(word[e - k : e])
             if i is None:
                 continue
-            w += p.weight(self.last[node], i)
-            if w > top:
-                top, last = w, i
-                count = self.count[node] + (1 if i >= 0 else max(1, len(chr(-2 - i).encode("utf-8", "replace")) if p.bytes else 1))
+            w = best + p.weight(last, i)
+            if w > found[0]:
+                found = (w, i, count + (1 if i >= 0 else max(1, len(chr(-2 - i).encode("utf-8", "replace")) if p.bytes else 1)))
                 if p.bpe:
                     break
-        self.children.append(None)
-        self.last.append(last)
-        self.best.append(top)
-        self.count.append(count)
-        return len(self.children) - 1
+        return found
 
     def insert(self, word: str) -> int:
-        """Puts a pre-token into the trie and gives its number of pieces."""
-        if len(word) > LONGEST:
-            return len(self.pieces.word(word)) // 4
+        """Puts a pre-token into the trie and gives its number of pieces.
+
+        The forward pass needs the last few scores only, so where the trie is full in the middle of a pre-token (which
+        may be of any length) it goes on without new nodes.
+        """
         if len(self.children) > self.most:
             self._clear()
-        node, path = 0, [0]
-        for c in word:
-            below = self.children[node]
-            if below is None:
-                below = self.children[node] = {}
-            following = below.get(c)
+        node: int | None = 0
+        before = deque([self.scores[0]], maxlen=self.pieces.longest)
+        for e, c in enumerate(word, 1):
+            below = self.children[node] if node is not None else None
+            following = below.get(c) if below is not None else None
             if following is None:
-                following = below[c] = self._step(word, path)
+                score = self._step(word, e, before)
+                if node is not None and len(self.children) <= 2 * self.most:
+                    if below is None:
+                        below = self.children[node] = {}
+                    following = below[c] = len(self.children)
+                    self.children.append(None)
+                    self.scores.append(score)
+            else:
+                score = self.scores[following]
             node = following
-            path.append(node)
-        return self.count[node]
+            before.append(score)
+        return before[-1][2]
 
     def tokens(self, text: str) -> tuple[int, int]:
         """The number of pieces and of pre-tokens of a whole text."""
@@ -84,14 +87,7 @@ class Trie:
         if not s:
             return 0, 0
         words = segments(s) if self.pieces.by_words else [s]
-        found = list(map(self.terminal.get, words))
-        if None in found:
-            if len(self.terminal) > self.most:
-                self.terminal.clear()
-            for w in {w for w, n in zip(words, found, strict=True) if n is None}:
-                self.terminal[w] = self.insert(w)
-            found = [n if n is not None else self.terminal[w] for w, n in zip(words, found, strict=True)]
-        return sum(found), len(words)
+        return sum(self.terminal.of(words)), len(words)
 
 
 _tries: dict[str, Trie] = {}
@@ -100,8 +96,9 @@ _tries: dict[str, Trie] = {}
 def count(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs(text, ...) with `n_tokens` and `n_pretokens` (columns of those names go).
 
-    Null text: empty, which has none. Every row stays, repeated ones too. Nothing is shuffled: each task builds the
-    trie of its own distinct pre-tokens.
+    Null text: empty, which has none. Every row stays, repeated ones too; an empty table gives an empty one; other
+    columns may have any names. Texts and pre-tokens of any length are counted whole. Nothing is shuffled: each task
+    builds the trie of its own distinct pre-tokens.
     """
     path = path or model_path()
     docs = docs.drop("n_tokens", "n_pretokens")
@@ -113,7 +110,7 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
             both = [trie.tokens(t) for t in texts(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in both], pa.int64()) for k in (0, 1))], [*b.schema.names, "n_tokens", "n_pretokens"])
 
-    return docs.mapInArrow(run, added(docs, n_tokens=T.LongType(), n_pretokens=T.LongType()))
+    return mapped(docs, run, added(docs, n_tokens=T.LongType(), n_pretokens=T.LongType()))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
