@@ -147,3 +147,37 @@ def test_quotes_that_never_close():
         html_text.blocks(part * 100_000 + "'")
         html_text.blocks(part * 100_000 + "\"'")
     assert time.process_time() - start < 60
+
+
+TEXT = "This is the text of the page, and it is long enough to be kept as text."
+MORE = "Something quite different that stands in the same place, of some length as well."
+
+
+@pytest.mark.parametrize("page", [
+    f"<head><title>x</title><body><article><p>{TEXT}</p></article>",
+    f"<html><head><meta charset=utf-8><title>x</title><article><p>{TEXT}</article>",
+    f"<head><style>p {{}}</style></head><article><p>{TEXT}",
+    f"<!doctype html><title>x</title><article><p>{TEXT}</article><footer><p>{MORE}",
+])
+def test_end_tags_may_be_left_out(page):
+    assert html_text.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("name", ["share-price", "widget-review", "sharePrice", "no-comments", "has-sidebar", "notice-period"])
+def test_names_are_judged_whole(name):
+    for attribute in (f'class="{name}"', f"id={name}", f'class="wide {name}"'):
+        assert html_text.main_text(f"<article><p>{TEXT}</p><div {attribute}><p>{MORE}</p></div></article>") == f"{TEXT}\n{MORE}"
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "sidebar-widget", "cookie-banner", "comment-list", "comment-17", "related-posts", "newsletterSignup", "ad", "site-footer"])
+def test_names_of_what_stands_beside(name):
+    assert html_text.main_text(f"<article><p>{TEXT}</p><div class='{name}'><p>{MORE}</p></div></article>") == TEXT
+
+
+def test_inline_adverts_leave_their_paragraph_whole():
+    assert html_text.main_text(f"<article><p>{TEXT} <b class=ad>Buy now</b> {MORE}</p></article>") == f"{TEXT} {MORE}"
+
+
+def test_very_long_page():
+    page = "<nav><a href=/>Home</a></nav><article>" + f"<p>{TEXT}</p><div class=share-price>{MORE}</div>" * 20_000 + "</article><footer>end</footer>"
+    assert html_text.main_text(page) == "\n".join([TEXT, MORE] * 20_000)

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import added, table, texts
+from tracewell.llm.common import added, mapped, table, texts
 
-#: Elements whose content is never text of the page.
-DROPPED = frozenset("script style noscript template head title textarea select option button svg math iframe object audio video canvas map datalist dialog".split())
+#: Elements whose content is never text of the page. A head is none of them: all that may stand in one is, and where
+#: its end tag is left out, as it may be, the first text or other element begins the body.
+DROPPED = frozenset("script style noscript template title textarea select option button svg math iframe object audio video canvas map datalist dialog".split())
 #: Of those, the ones whose content ends only at their own end tag.
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,6 +38,10 @@ ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs footer foot sidebar aside widget related recommended share sharing social comment comments reply replies respond disqus cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup signin login register search pagination pager toolbar copyright legal disclaimer tags masthead contentinfo complementary skip teaser".split()
 )
 MAIN_WORDS = frozenset("article post entry content main story maincontent articlebody".split())
+#: Words that leave the meaning of a name to its other words: "comment-list" is comments, "share-price" is no sharing.
+NEUTRAL_WORDS = MAIN_WORDS | frozenset(
+    "area bar big block body bottom box buttons button col column container desktop entry fixed form global grid group header heading icon icons info inline inner item items js large left link links list local mid mobile more new news outer page panel posts articles stories primary region right row secondary section site slot small sticky text title top unit us wrap wrapper".split()
+)
 
 NONE, MAIN, ASIDE, HEAD = 0, 1, -1, -2
 
@@ -64,6 +69,15 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _beside(name: str) -> bool:
+    """Whether a whole name (a class, an id, a role) says that its element stands beside the text: one of its words
+    does, and none of them says anything else."""
+    words = [w.lower() for w in _PART.findall(name)]
+    if name.lower() in ASIDE_WORDS:
+        return True
+    return any(w in ASIDE_WORDS for w in words) and all(w in ASIDE_WORDS or w in NEUTRAL_WORDS or w.isdigit() or len(w) == 1 for w in words)
+
+
 def _region(tag: str, attributes: str, outer: int) -> tuple[int, bool]:
     """The kind of region that an element opens, and whether its content is hidden."""
     names: set[str] = set()
@@ -75,13 +89,15 @@ def _region(tag: str, attributes: str, outer: int) -> tuple[int, bool]:
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return outer, True
         if key in ("class", "id", "role"):
-            names.update(w.lower() for w in _PART.findall(value))
-            names.update(w.lower() for w in value.split())
-    if tag in ASIDE_TAGS or names & ASIDE_WORDS:
+            names.update(value.split())
+    if tag in ("html", "body"):
+        return outer, False
+    if tag in ASIDE_TAGS or any(map(_beside, names)):
         return ASIDE, False
-    if tag == "header" or "header" in names and tag not in MAIN_TAGS:
+    words = {w.lower() for name in names for w in (*_PART.findall(name), name)}
+    if tag == "header" or "header" in words and tag not in MAIN_TAGS:
         return (HEAD if outer == MAIN else ASIDE), False
-    if tag in MAIN_TAGS or (names & MAIN_WORDS and outer != ASIDE and tag not in ("body", "html")):
+    if tag in MAIN_TAGS or words & MAIN_WORDS and outer != ASIDE:
         return MAIN, False
     return outer, False
 
@@ -184,10 +200,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             region, hidden = _region(tag, attributes, state()[0])
-            if hidden or region == ASIDE != state()[0]:
-                if not hidden:
-                    close()
-                stack.append((tag, region, state()[1] or hidden))
+            if hidden or region == ASIDE != state()[0]:  # its words go; the paragraph that it stands in goes on
+                stack.append((tag, state()[0], True))
             continue
         close()
         if tag in HEADINGS:
@@ -373,7 +387,12 @@ def main_text(page: str, root: Node | None = None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages(html, ...) with `text`, the main text (any column of that name goes). Null html: empty. Every row stays."""
+    """pages(html, ...) with `text`, the main text (any column of that name goes).
+
+    Null html: empty. Every row stays, repeated ones too; an empty table gives an empty one; pages of any length are
+    read whole; other columns may have any names. Where a leaf of the tree holds as many blocks of text as of others,
+    its blocks are text.
+    """
     pages = pages.drop("text")
     at = pages.columns.index("html")
 
@@ -381,7 +400,7 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([main_text(p) for p in texts(b.column(at))], pa.string())], [*b.schema.names, "text"])
 
-    return pages.mapInArrow(run, added(pages, text=T.StringType()))
+    return mapped(pages, run, added(pages, text=T.StringType()))
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
