@@ -1,12 +1,14 @@
 """Removal of long repeated byte strings: every byte covered by a string of LENGTH bytes that also starts earlier.
 
-A run-compressed Burrows-Wheeler index over the corpus can't name the earliest start of a match by its sampled run
-ends (it gives any one start), and it is one structure that every task would need whole. So the same result comes from
-minimisers: each window of LENGTH bytes is owned by the smallest K-gram hash in it, hence equal windows are owned by
-equal K-grams at equal places. Neighbouring windows with one owner are one span. Of spans with equal bytes only the
-first stays open; where one K-gram owns spans that differ, the first ones are taken apart into windows and compared
-one by one. Each task first settles what it holds itself, so a string that all documents share reaches the shuffle
-once a task.
+The corpus is dealt into run-length indexes small enough for a task. A window of LENGTH bytes is owned by the smallest
+K-gram hash in it, hence equal windows are owned by equal K-grams; neighbouring windows with one owner are one span.
+Of spans with equal bytes only the first stays open, and each task first settles what it holds itself, so a string
+that all documents share reaches the shuffle once a task. Spans of one K-gram that differ meet in one index: their
+run-compressed Burrows-Wheeler transform, with suffixes and common prefixes sampled at the heads of runs. From the
+samples the matching statistics of every position are streamed (within a run each is one less than that before it),
+windows that match for LENGTH bytes fall into classes, and the earliest of a class stays. The earliest is found among
+a class's members, since run heads name any one start and not the first. K-grams with more spans than an index should
+hold are compared window by window, by hashes that spread over tasks.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.llm.common import keyed, mix64, stored, table, texts
+from tracewell.llm.common import added, keyed, mapped, mix64, plain, stored, table, texts, unmix64
 
 LENGTH, K = 100, 32
 #: Bytes that are hashed together, and rows that are settled together within a task.
@@ -29,6 +32,12 @@ _PLACE = np.uint64((1 << 21) - 1)
 #: lower half a number times KINDS plus the kind of row.
 _SPAN = "key long, s long, doc long, at long"
 _OPEN, _MIXED, _APART, _DONE, _KINDS = 0, 1, 2, 3, 4
+#: Spans of one K-gram that an index takes at most; those of more are compared by the hashes of their windows.
+HOT = 1024
+#: Parts that the spans of a K-gram are dealt in where K-grams with too many are looked up.
+SALTS = 64
+#: A byte that no UTF-8 text holds; it ends the spans in an index.
+END = 255
 
 _tables: dict[int, tuple] = {}
 
@@ -204,8 +213,9 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tabl
         yield rest
 
 
-_RANGE = "doc long, lo int, n int, kind int"
-_RANGE_TYPES = [("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("kind", pa.int32())]
+#: gram: the K-gram hash of spans that are compared further.
+_RANGE = "doc long, lo int, n int, kind int, gram long"
+_RANGE_TYPES = [("doc", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("kind", pa.int32()), ("gram", pa.int64())]
 
 
 def _resolve(length: int):
@@ -228,35 +238,61 @@ def _resolve(length: int):
             group = np.cumsum(new_key) - 1
             mixed = (np.bincount(group, new & ~done) > 1) | (np.bincount(group, (kind == _MIXED) | (kind == _APART)) > 0)
             some = new & ~done & mixed[group]
-            yield _rows(_RANGE_TYPES, np.concatenate([d, doc[some]]), np.concatenate([b, lo[some]]), np.concatenate([e - b, n[some]]), np.concatenate([np.full(len(d), _DONE), np.full(int(some.sum()), _APART)]))
+            gram = key[some].view(np.uint64)
+            gram = _i64(np.where(kind[some] == _APART, unmix64(gram) ^ s[some].view(np.uint64), gram))
+            yield _rows(_RANGE_TYPES, np.concatenate([d, doc[some]]), np.concatenate([b, lo[some]]), np.concatenate([e - b, n[some]]), np.repeat([_DONE, _APART], [len(d), len(gram)]), np.concatenate([np.zeros(len(d), np.int64), gram]))
 
     return run
 
 
-#: A window's hash has 95 bits; `at` holds its last 31 in the upper half and the window's start in the lower. n: 0 for
-#: a window, else the bytes of a range that is done.
-_WINDOW = "h1 long, at long, doc long, n int"
-_WINDOW_TYPES = [("h1", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("n", pa.int32())]
+#: What meets in an index, by the K-gram hash `h1`: a span of a document, its first start `at`, its bytes in `body`.
+#: Of hot K-grams, windows instead, without a body: a window's hash has 95 bits; `at` holds its last 31 in the upper
+#: half and the window's start in the lower. n: 0 for these, else the bytes of a range that is done.
+_PART = "h1 long, at long, doc long, n int, body binary"
+_PART_TYPES = [("h1", pa.int64()), ("at", pa.int64()), ("doc", pa.int64()), ("n", pa.int32()), ("body", pa.binary())]
 
 
-def _windows(length: int):
-    """(doc, text, spans) as windows with their hashes; of equal ones in a task only the first goes on."""
+def _bare(h1: np.ndarray, at: np.ndarray, doc: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, (_, t) in zip((h1, at, doc, n), _PART_TYPES, strict=False)), pa.nulls(len(h1), pa.binary())], [n for n, _ in _PART_TYPES])
+
+
+def _ranges_of(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ... (n[0] of them), lo[1], ..."""
+    return np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+def _parts(length: int):
+    """(doc, text, found) as the spans' bytes, or the windows of hot ones; of equal windows in a task only the first goes on."""
 
     def settle(h1, h2, doc, lo) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((lo, doc, h2, h1))
         h1, h2, doc, lo = (x[order] for x in (h1, h2, doc, lo))
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         d, b, e = merged(doc[~new], lo[~new], lo[~new] + length)
-        yield _rows(_WINDOW_TYPES, _i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), b, d, e - b)
-        yield _rows(_WINDOW_TYPES, _i64(h1[new]), h2[new] << 32 | lo[new], doc[new], np.zeros(int(new.sum()), np.int64))
+        yield _bare(_i64(mix64(d.astype(np.uint64) + b.astype(np.uint64))), b, d, e - b)
+        yield _bare(_i64(h1[new]), h2[new] << 32 | lo[new], doc[new], np.zeros(int(new.sum()), np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for doc, text, found in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            found = batch.column(2)
+            cuts, values = found.offsets.to_numpy(), found.values
+            fields = [values.field(c).to_numpy(zero_copy_only=False) for c in ("lo", "n", "gram", "hot")]
+            for j, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True)):
                 raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-                at = np.array(sorted((x["lo"], x["n"]) for x in found), np.int64)
-                at = np.repeat(at[:, 0] - np.cumsum(at[:, 1]) + at[:, 1], at[:, 1]) + np.arange(at[:, 1].sum())
+                lo, n, gram, hot = (x[cuts[j] : cuts[j + 1]] for x in fields)
+                lo, n = lo.astype(np.int64), n.astype(np.int64)
+                cool = np.flatnonzero(~hot)
+                for k in range(0, len(cool), FLUSH // 64):
+                    own = cool[k : k + FLUSH // 64]
+                    wide = n[own] + length - 1
+                    ends = np.concatenate([[0], np.cumsum(wide)]).astype(np.int32)
+                    body = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(raw[_ranges_of(lo[own], wide)])])
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[own], pa.int64()), pa.array(lo[own], pa.int64()), pa.array(np.full(len(own), doc), pa.int64()), pa.array(n[own], pa.int32()), body], [c for c, _ in _PART_TYPES])
+                if not hot.any():
+                    continue
+                order = np.flatnonzero(hot)[np.argsort(lo[hot], kind="stable")]
+                at = _ranges_of(lo[order], n[order])
                 for base in range(0, len(raw), BUFFER):
                     own = at[(at >= base) & (at < base + BUFFER)]
                     if len(own):
@@ -273,34 +309,160 @@ def _windows(length: int):
     return run
 
 
+class RunIndex:
+    """The run-compressed Burrows-Wheeler transform of byte strings that each end in END.
+
+    Suffixes are sorted by prefix doubling; every END counts as a letter of its own, so no order or match goes over one.
+    heads: the rows where a run of equal letters begins. Sampled there are the suffix and how many bytes it has in
+    common with the one sorted before it; all other common prefixes follow from these.
+    """
+
+    def __init__(self, text: np.ndarray):
+        self.text, n = text, len(text)
+        ends = text == END
+        stop = np.flatnonzero(ends)
+        self.left = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)  # bytes up to the END
+        padded = np.zeros(n + 8, np.uint8)
+        padded[:n] = text
+        #: Eight bytes from each place, those behind an END as zeros.
+        word = np.zeros(n, np.uint64)
+        for k in range(8):
+            word = (word << np.uint64(8)) | np.where(self.left >= k, padded[k : n + k], 0).astype(np.uint64)
+        self.word = word
+        self.order, self.place = self._sorted()
+        letter = text[self.order - 1]
+        head = np.ones(n, bool)
+        head[1:] = (letter[1:] != letter[:-1]) | (letter[1:] == END)
+        self.heads = np.flatnonzero(head)
+        self.samples = self.order[self.heads]
+        self.common = np.zeros(len(self.heads), np.int64)
+        self.common[1:] = self._alike(self.order[self.heads[1:] - 1], self.samples[1:])
+
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes in order, and the place of each in it."""
+        n = len(self.text)
+        order = np.argsort(self.word, kind="stable")
+        sure = self.left < 8  # an END is among the eight: no other suffix is the same, and of such the earlier is less
+        new = np.ones(n, bool)
+        word, own = self.word[order], sure[order]
+        new[1:] = (word[1:] != word[:-1]) | own[1:] | own[:-1]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        reach = 8
+        while True:
+            alone = new & np.concatenate([new[1:], [True]])
+            slots = np.flatnonzero(~alone)
+            if not len(slots):
+                return order, rank
+            open_ = order[slots]
+            key = rank[open_] << 32 | rank[np.minimum(open_ + reach, n - 1)]
+            by = np.argsort(key, kind="stable")
+            open_, key = open_[by], key[by]
+            order[slots] = open_
+            fresh = np.ones(len(slots), bool)
+            fresh[1:] = key[1:] != key[:-1]
+            new[slots] = fresh
+            rank[open_] = np.maximum.accumulate(np.where(fresh, slots, 0))
+            reach *= 2
+
+    def _alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at a and b have in common, neither counted over its END."""
+        most = np.minimum(self.left[a], self.left[b])
+        out, going, k = most.copy(), np.arange(len(a)), 0
+        while len(going):
+            x, y = self.word[a[going] + k], self.word[b[going] + k]
+            apart = x != y
+            # the first byte that differs, from the highest bit that does
+            other = x[apart] ^ y[apart]
+            bit = np.frexp(other.astype(np.float64))[1]  # too high by one where the number is rounded up to a power
+            first = np.where(other >> np.uint64(56) == 0, np.maximum(1, 8 - -(-bit // 8)), 0)
+            out[going[apart]] = np.minimum(out[going[apart]], k + first)
+            k += 8
+            going = going[~apart]
+            going = going[most[going] > k]
+        return out
+
+    def statistics(self) -> np.ndarray:
+        """For every place: how many bytes its suffix has in common with the one sorted before it.
+
+        Streamed from the samples: inside a run the letter in front of both is the same, so the value is one less than
+        that of the place before.
+        """
+        n = len(self.text)
+        last = np.zeros(n, np.int64)
+        last[self.samples] = self.samples
+        last = np.maximum.accumulate(last)
+        value = np.zeros(n, np.int64)
+        value[self.samples] = self.common
+        return np.maximum(value[last] + last - np.arange(n), 0)
+
+    def repeats(self, length: int) -> np.ndarray:
+        """Whether the string of `length` bytes at each place also starts at an earlier place."""
+        n = len(self.text)
+        first = self.statistics()[self.order] < length
+        first[:1] = True
+        least = np.minimum.reduceat(self.order, np.flatnonzero(first)) if n else self.order
+        return (np.arange(n) > least[(np.cumsum(first) - 1)[self.place]]) if n else np.zeros(0, bool)
+
+
+def _matched(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, lo, hi) of the windows of spans, all of their K-grams, that also start earlier."""
+    gram, lo, doc, n = (t.column(c).to_numpy().astype(np.int64) for c in ("h1", "at", "doc", "n"))
+    order = np.lexsort((lo, doc, gram))
+    body = t.column("body").combine_chunks()
+    body = body.combine_chunks() if isinstance(body, pa.ChunkedArray) else body
+    starts, raw = np.frombuffer(body.buffers()[1], np.int32)[body.offset : body.offset + len(body) + 1].astype(np.int64), np.frombuffer(body.buffers()[2], np.uint8)
+    lo, doc, n, starts = lo[order], doc[order], n[order], starts[:-1][order]
+    wide = n + length  # with the END
+    text = np.full(int(wide.sum()), END, np.uint8)
+    at = np.cumsum(wide) - wide
+    text[_ranges_of(at, wide - 1)] = raw[_ranges_of(starts, wide - 1)]
+    again = RunIndex(text).repeats(length)
+    span = np.repeat(np.arange(len(n)), n)
+    place = _ranges_of(at, n)
+    own = again[place]
+    start = lo[span[own]] + place[own] - at[span[own]]
+    return doc[span[own]], start, start + length
+
+
 def _compare(length: int):
-    """Windows sorted by h1: the byte ranges of all but the first of equal ones."""
+    """Parts sorted by h1: the byte ranges of all but the first of equal windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_keys(batches, "h1"):
-            h1, at, doc, n = (t.column(c).to_numpy().astype(np.int64) for c in ("h1", "at", "doc", "n"))
-            h2, lo = at >> 32, at & 0xFFFFFFFF
-            order = np.lexsort((lo, doc, h2, h1))
-            h1, h2, doc, lo, n = (x[order] for x in (h1, h2, doc, lo, n))
-            done = n > 0
-            new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) | done
-            again = ~new & ~done
-            d, b, e = merged(np.concatenate([doc[done], doc[again]]), np.concatenate([lo[done], lo[again]]), np.concatenate([lo[done] + n[done], lo[again] + length]))
-            yield _rows(_RANGE_TYPES, d, b, e - b, np.full(len(d), _DONE))
+            bare = t.column("body").is_null().to_numpy()
+            found = []
+            if not bare.all():
+                found.append(_matched(t.filter(pa.array(~bare)), length))
+            if bare.any():
+                h1, at, doc, n = (t.column(c).to_numpy().astype(np.int64)[bare] for c in ("h1", "at", "doc", "n"))
+                h2, lo = at >> 32, at & 0xFFFFFFFF
+                order = np.lexsort((lo, doc, h2, h1))
+                h1, h2, doc, lo, n = (x[order] for x in (h1, h2, doc, lo, n))
+                done = n > 0
+                again = ~(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]) | done)
+                found += [(doc[done], lo[done], lo[done] + n[done]), (doc[again], lo[again], lo[again] + length)]
+            d, b, e = merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield _rows(_RANGE_TYPES, d, b, e - b, np.full(len(d), _DONE), np.zeros(len(d), np.int64))
 
     return run
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """docs(doc, text, ...) as (doc, text, ranges): an array of (lo, n): byte ranges that cover all repeats (null if none); they may overlap."""
+def repeated(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
+    """(doc, ranges) of docs(doc, text): an array of (lo, n): byte ranges that cover all repeats and may overlap. A
+    document without repeats has no row."""
     docs = docs.select("doc", "text")
-    found = docs.mapInArrow(_find(length, k), _SPAN)
-    found = stored(found.repartition("key").sortWithinPartitions("key").mapInArrow(_resolve(length), _RANGE))
-    apart = found.where(F.col("kind") == _APART).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("found"))
-    windows = docs.join(apart.hint("shuffle_hash"), "doc").select("doc", "text", "found").mapInArrow(_windows(length), _WINDOW)
-    more = windows.repartition("h1").sortWithinPartitions("h1").mapInArrow(_compare(length), _RANGE)
-    ranges = found.where(F.col("kind") == _DONE).union(more).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
-    return docs.join(ranges.hint("shuffle_hash"), "doc", "left")
+    found = mapped(docs, _find(length, k), _SPAN)
+    found = stored(mapped(found.repartition("key").sortWithinPartitions("key"), _resolve(length), _RANGE))
+    salt = F.pmod(F.xxhash64("doc", "lo"), F.lit(SALTS)).alias("salt")
+    apart = found.where(F.col("kind") == _APART).select("doc", "lo", "n", "gram", salt)
+    many = apart.groupBy("gram").agg(F.count("*").alias("spans")).where(F.col("spans") > hot)
+    many = many.select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("hot"))
+    apart = apart.join(many, ["gram", "salt"], "left").select("doc", "lo", "n", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
+    apart = apart.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "gram", "hot")).alias("found"))
+    parts = mapped(docs.join(apart.hint("shuffle_hash"), "doc").select("doc", "text", "found"), _parts(length), _PART)
+    more = mapped(parts.repartition("h1").sortWithinPartitions("h1"), _compare(length), _RANGE)
+    return found.where(F.col("kind") == _DONE).union(more).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
 
 
 def _cover(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -321,7 +483,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+        types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
         for b in batches:
             out = []
             for doc, text, ranges in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
@@ -334,35 +496,47 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield _rows(types, *(list(zip(*out, strict=True)) or [[]] * 5))
 
     docs = keyed(docs.select(F.col("doc_id").cast("long"), "text")).withColumnRenamed("_row", "doc")
-    done = repeated(docs, length).mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return done.join(docs.select("doc", "doc_id"), "doc").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    ranges = repeated(docs, length)
+    both = docs.join(ranges.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "ranges")
+    return mapped(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeats cut out of `text` (and `n_chars`, if it is there, counted anew); all rows and columns stay.
 
-    A character goes only if all its bytes do. Null texts stay null.
+    A character goes only if all its bytes do. Null texts stay null; repeated rows lose their texts but for the first;
+    an empty table gives an empty one; other columns may have any names.
     """
+    wide = plain(docs, "doc_id", "text")
+    at, names = wide.columns.index("text"), wide.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, ranges in zip(texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-                raw, kept, at = text.encode("utf-8", "replace"), [], 0
+            out, cut = [], []
+            for text, ranges in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                cut.append(bool(ranges))
+                if not ranges:
+                    out.append(text)
+                    continue
+                raw, kept, end = text.encode("utf-8", "replace"), [], 0
                 for lo, hi in _cover(ranges):
                     while lo < hi and raw[lo] & 0xC0 == 0x80:
                         lo += 1
                     while hi > lo and hi < len(raw) and raw[hi] & 0xC0 == 0x80:
                         hi -= 1
-                    kept.append(raw[at:lo])
-                    at = hi
-                out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["_row", "_kept"])
-
-    wide = keyed(docs)
-    cut = repeated(wide.select(F.col("_row").alias("doc"), "text"), length).where("ranges is not null").mapInArrow(run, "_row long, _kept string")
-    new = {"text": F.coalesce("_kept", "text")} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return wide.join(cut, "_row", "left").select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+                    kept.append(raw[end:lo])
+                    end = hi
+                out.append(b"".join([*kept, raw[end:]]).decode("utf-8", "replace"))
+            cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.bool_())], [*names, "cut"])
+
+    rows = keyed(wide).withColumnRenamed("_row", "doc")
+    both = rows.join(repeated(rows, length).hint("shuffle_hash"), "doc", "left").select(*names, "ranges")
+    done = mapped(both, run, added(wide, cut=T.BooleanType()))
+    if "n_chars" in docs.columns:
+        k = docs.columns.index("n_chars")
+        done = done.withColumn(names[k], F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names[k])))
+    return done.select(*names).toDF(*docs.columns)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
