@@ -20,16 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracewell.llm.common import cut_lineage, table, texts
+from tracewell.llm.common import cut_lineage, mapped, table, texts
 
 CAPACITY = 4096
 #: The id that ends a document.
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a Python worker keeps.
-MEMO_WORDS = 400_000
+#: Characters of words whose ids a Python worker keeps; each word costs 64 of them besides its own.
+MEMO_CHARS = 24_000_000
 #: Salts that spread the ranking of equal lengths over tasks.
 SALTS = 1024
+#: Lengths that a round of the covering program prices first, and how near to the best a configuration must come: of
+#: one that was priced among some lengths, and of one that was priced among all.
+SOME, NEAR, NEAR_ALL = 256, 2e-4, 5e-4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Characters that Python's split() takes for white space and the tokenizer does not.
@@ -56,13 +59,13 @@ class WordIds:
     others to the whole of it, one by one.
     """
 
-    def __init__(self, path: str, keep: int = MEMO_WORDS):
+    def __init__(self, path: str, keep: int = MEMO_CHARS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.keep, self.memo = Tokenizer.from_file(path), keep, {}
+        self.tok, self.keep, self.memo, self.held = Tokenizer.from_file(path), keep, {}, 0
         self.letters = byte_letters()
 
     def _direct(self, text: str) -> bytes:
@@ -101,9 +104,10 @@ class WordIds:
         found = list(map(self.memo.get, words))
         if None in found:
             missing = {w for w, ids in zip(words, found, strict=True) if ids is None}
-            if len(self.memo) > self.keep:
+            if self.held > self.keep:
                 self.memo.clear()
-                missing = set(words)
+                self.held, missing = 0, set(words)
+            self.held += sum(len(w) + 64 for w in missing)
             self._learn(missing)
             found = map(self.memo.__getitem__, words)
         return b"".join(found)
@@ -129,54 +133,92 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), run, PIECES)
 
 
-def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int, most: np.ndarray | None = None) -> Counter:
-    """The knapsack dynamic programme: the multiset of lengths, within capacity, of the largest total value.
+def priced(lengths: np.ndarray, values: np.ndarray, capacity: int, most: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple]]:
+    """The knapsack dynamic programme: the largest total value of a multiset of lengths within every capacity up to
+    the given one, and the steps that configuration() reads them back from.
 
     `most`: how often each length may be taken at most. Copies are taken by powers of two, longest lengths first.
     """
     best, steps = np.zeros(capacity + 1), []
-    for i in np.argsort(-lengths):
-        length, copies = int(lengths[i]), 1
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        length, value, copies = int(lengths[i]), float(values[i]), 1
         left = capacity // length if most is None else min(int(most[i]), capacity // length)
         while left > 0:
             copies = min(copies, left)
-            with_it = best[: capacity + 1 - length * copies] + values[i] * copies
+            with_it = best[: capacity + 1 - length * copies] + value * copies
             without = best[length * copies :]
             better = with_it > without
-            np.copyto(without, with_it, where=better)
+            np.maximum(with_it, without, out=without)
             steps.append((length, copies, better))
             left -= copies
             copies *= 2
-    found, c = Counter(), capacity
+    return best, steps
+
+
+def configuration(steps: list[tuple], capacity: int) -> Counter:
+    """The multiset of lengths that is worth most within this capacity."""
+    found: Counter = Counter()
     for length, copies, better in reversed(steps):
-        if c >= length * copies and better[c - length * copies]:
+        if capacity >= length * copies and better[capacity - length * copies]:
             found[length] += copies
-            c -= length * copies
+            capacity -= length * copies
     return found
 
 
+def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int, most: np.ndarray | None = None) -> Counter:
+    return configuration(priced(lengths, values, capacity, most)[1], capacity)
+
+
 def covering(counts: dict[int, int], capacity: int, rounds: int | None = None, rate: float = 0.02) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used: the covering program by multiplicative weights, in whole steps.
 
     A length's weight is its share of the capacity times exp(-rate * the share of it that is covered already), so that
-    full configurations of lengths that are least covered are priced highest. Configurations hold no length more often
-    than it is still left, and each is used as often as they are left for, so every round leaves some length less often
-    than the configuration holds it: rounds depend on the capacity, not on the counts. Nothing is left to round.
+    full configurations of lengths that are least covered are priced highest. A round prices SOME lengths first: those
+    of the greatest weight for their size and others spread over the rest. What they give is taken if it comes within
+    NEAR of a bound on what all lengths could give (the capacity at the greatest weight for its size, and what all
+    gave when they were last priced together: weights and counts only fall); else more are priced, all of them at
+    last. One programme holds the best configuration of every capacity, and all that are within NEAR of the best are
+    used. Configurations hold no length more often than it is still left, and each is used as often as they are left
+    for, so rounds depend on the capacity, not on the counts, and nothing is left to round.
     """
-    lengths = np.array(sorted(counts))
-    n = np.array([counts[x] for x in lengths])
-    at, rest, out = {int(x): i for i, x in enumerate(lengths)}, n.copy(), []
-    while rest.any() and (rounds is None or len(out) < rounds):
+    lengths = np.array(sorted(counts, reverse=True), int)
+    n = np.array([counts[x] for x in lengths.tolist()], int)
+    at, rest, out = {x: i for i, x in enumerate(lengths.tolist())}, n.copy(), []
+    for i in np.flatnonzero(lengths + lengths.min(initial=capacity) > capacity).tolist():  # fits with nothing: alone
+        out.append(({int(lengths[i]): 1}, int(n[i])))
+        rest[i] = 0
+    top, done = np.inf, 0
+    while rest.any() and (rounds is None or done < rounds):
         left = np.flatnonzero(rest)
-        values = lengths[left] / capacity * np.exp(-rate * (1 - rest[left] / n[left]))
-        pattern = dict(best_pattern(lengths[left], values, capacity, rest[left]))
-        times = min(int(rest[at[k]]) // v for k, v in pattern.items())
-        for k, v in pattern.items():
-            rest[at[k]] -= times * v
-        out.append((pattern, times))
+        weight = np.exp(-rate * (1 - rest[left] / n[left])) / capacity
+        bound, size = min(top, capacity * weight.max()), SOME
+        by_weight = np.argsort(-weight, kind="stable")
+        while True:
+            own = np.arange(len(left))
+            if size < len(left):
+                half = size // 2
+                spread = np.linspace(0, len(left) - half - 1, size - half).astype(int)
+                own = np.unique(np.concatenate([by_weight[:half], by_weight[half:][spread]]))
+            some = left[own]
+            best, steps = priced(lengths[some], lengths[some] * weight[own], capacity, rest[some])
+            whole = len(own) == len(left)
+            if whole or best[capacity] >= (1 - NEAR) * bound:
+                break
+            size *= 8
+        top = best[capacity] if whole else top
+        for c in range(capacity, 0, -1):
+            if best[c] < (1 - (NEAR_ALL if whole else NEAR)) * best[capacity]:
+                break
+            pattern = configuration(steps, c)
+            times = min((int(rest[at[k]]) // v for k, v in pattern.items()), default=0)
+            if times:
+                for k, v in pattern.items():
+                    rest[at[k]] -= times * v
+                out.append((dict(pattern), times))
+        done += 1
     return out
 
 
