@@ -2,8 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
-from tracewell.llm import common, embeddings, jaccard, repeats
+from tracewell.llm import common, common, embeddings, jaccard, repeats
 
 
 def roots(n, pairs):
@@ -163,3 +164,89 @@ def test_lone_vectors_away_from_their_centroids_are_met(spark, monkeypatch):
     assert both == {0: (1, 0), 1: (1, 0)}
     one = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(table(29, 31, -20), cell=1).collect()}
     assert one == {0: (1, 0), 1: (1, 0), 2: (0, 2)}
+
+
+def test_embeddings_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 7)
+    r = np.random.default_rng(4)
+    base = r.normal(size=(6, 5))
+    x = np.concatenate([base[k % 6] + r.normal(size=5) * 0.15 for k in range(120)]).reshape(120, 5)
+    x[::10] *= 1e200
+    x[1::10] *= 1e-200
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(None, x[0].tolist(), 1), (None, None, 1)]
+    u = x / np.abs(x).max(1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.93
+    np.fill_diagonal(hit, False)
+    assert hit.any()
+    want = {i: (int(hit[i].sum()) + int(hit[i, 0]) + (i == 0), c) for i, c in enumerate(roots(120, np.argwhere(hit)))}
+    for cell in (2000, 15):
+        got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell=cell).collect()
+        assert len(got) == 122 and all(not q.kept for q in got if q.vec_id is None)
+        assert {q.vec_id: (q.n_links, q.component_id) for q in got if q.vec_id is not None} == want
+
+
+def test_labels_without_centroids(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SAMPLE", 2)
+    monkeypatch.setattr(embeddings, "BLOCK", 4)
+    rows = [(10 * lab + k, [1.0, 0.01 * k], lab) for lab in range(5) for k in range(9)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(q.n_links, q.vec_id - q.vec_id % 10 == q.component_id) for q in got} == {(8, True)} and len(got) == 45
+
+
+def test_jaccard_groups_over_many_blocks_and_the_shuffled_branch(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for k in range(70):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 2])):
+            words[r.randrange(120)] = f"x{k}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"y{r.randrange(10**6)}" for _ in range(50)) for _ in range(10)]
+    sets = [set(jaccard.Shingler(5)(t).tolist()) for t in texts]
+    hit = np.array([[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    want = {i: (c, int(hit[i].sum())) for i, c in enumerate(roots(len(texts), np.argwhere(hit)))}
+    rows = jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {q.doc_id: (q.class_id, q.n_links) for q in rows} == want
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(2**62, "a b c d e f"), (2**62, "a b c d e f"), (2**62, "another text"), (None, "x"), (None, "y"), (-(2**63), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r._row: (r.doc_id, r.text) for r in common.keyed(docs).collect()}
+    assert len(got) == 6
+    assert [got[k][0] for k in sorted(got)] == [None, None, -(2**63), 2**62, 2**62, 2**62]
+    assert sorted(map(repr, got.values())) == sorted(map(repr, rows))
+    assert sorted(r.text for r in jaccard.keep_one(docs).collect()) == sorted({t for _, t in rows})
+    assert repeats.digest(docs).count() == 6
+
+
+def test_hot_grams_are_compared_by_windows(spark):
+    """The same result whether the spans of a K-gram meet in an index or by their windows' hashes."""
+    texts = passages()
+    docs = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "doc long, text string").repartition(5)
+    cover = lambda rows: {r.doc: repeats._cover([x.asDict() for x in r.ranges]) for r in rows}
+    assert cover(repeats.repeated(docs, hot=0).collect()) == cover(repeats.repeated(docs, hot=10**9).collect()) != {}
+
+
+@pytest.mark.parametrize("length", [1, 3, 8, 9, 20])
+def test_run_index(length):
+    r = random.Random(length)
+    for _ in range(60):
+        letters = r.choice([b"ab", b"abc\x00", bytes(range(250))])
+        base = bytes(r.choice(letters) for _ in range(60))
+        parts = [base[(k := r.randint(0, 50)) : k + r.randint(0, 40)] + bytes(r.choice(letters) for _ in range(r.randint(0, 10))) for _ in range(r.randint(1, 12))]
+        text = b"".join(p + bytes([repeats.END]) for p in parts)
+        seen, want = set(), []
+        for i in range(len(text)):
+            w = text[i : i + length]
+            whole = len(w) == length and repeats.END not in w
+            want.append(whole and w in seen)
+            seen.add(w)
+        index = repeats.RunIndex(np.frombuffer(text, np.uint8))
+        assert index.repeats(length).tolist() == want
+        suffixes = [(text[i : text.index(repeats.END, i)] + b"\xff", i) for i in range(len(text))]
+        assert index.order.tolist() == [i for _, i in sorted(suffixes)]

@@ -448,11 +448,15 @@ def _compare(length: int):
     return run
 
 
+#: Holds for every row; said so that both joins with the documents are planned alike and share their exchange.
+_KEY = "doc is not null"
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT) -> DataFrame:
-    """(doc, ranges) of docs(doc, text): an array of (lo, n): byte ranges that cover all repeats and may overlap. A
-    document without repeats has no row."""
-    docs = docs.select("doc", "text")
-    found = mapped(docs, _find(length, k), _SPAN)
+    """(doc, ranges) of docs(doc, text, ...): an array of (lo, n): byte ranges that cover all repeats and may overlap. A
+    document without repeats has no row. All columns of docs take part in the join, so that the caller's own join of
+    docs with the result uses the same exchange."""
+    found = mapped(docs.select("doc", "text"), _find(length, k), _SPAN)
     found = stored(mapped(found.repartition("key").sortWithinPartitions("key"), _resolve(length), _RANGE))
     salt = F.pmod(F.xxhash64("doc", "lo"), F.lit(SALTS)).alias("salt")
     apart = found.where(F.col("kind") == _APART).select("doc", "lo", "n", "gram", salt)
@@ -460,7 +464,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, k: int = K, hot: int = HOT)
     many = many.select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("hot"))
     apart = apart.join(many, ["gram", "salt"], "left").select("doc", "lo", "n", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
     apart = apart.groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "gram", "hot")).alias("found"))
-    parts = mapped(docs.join(apart.hint("shuffle_hash"), "doc").select("doc", "text", "found"), _parts(length), _PART)
+    parts = mapped(docs.join(apart.hint("shuffle_hash"), "doc").select("doc", "text", "found", *(c for c in docs.columns if c not in ("doc", "text"))), _parts(length), _PART)
     more = mapped(parts.repartition("h1").sortWithinPartitions("h1"), _compare(length), _RANGE)
     return found.where(F.col("kind") == _DONE).union(more).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
 
@@ -495,7 +499,7 @@ def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((doc, len(raw), sum(hi - lo for lo, hi in cover), len(cover), h.hexdigest()))
             yield _rows(types, *(list(zip(*out, strict=True)) or [[]] * 5))
 
-    docs = keyed(docs.select(F.col("doc_id").cast("long"), "text")).withColumnRenamed("_row", "doc")
+    docs = keyed(docs.select(F.col("doc_id").cast("long"), "text")).withColumnRenamed("_row", "doc").where(_KEY)
     ranges = repeated(docs, length)
     both = docs.join(ranges.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "ranges")
     return mapped(both, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -530,7 +534,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             cols = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(cut, pa.bool_())], [*names, "cut"])
 
-    rows = keyed(wide).withColumnRenamed("_row", "doc")
+    rows = keyed(wide).withColumnRenamed("_row", "doc").where(_KEY)
     both = rows.join(repeated(rows, length).hint("shuffle_hash"), "doc", "left").select(*names, "ranges")
     done = mapped(both, run, added(wide, cut=T.BooleanType()))
     if "n_chars" in docs.columns:
