@@ -58,7 +58,7 @@ def test_spans_sort_and_merge():
 def test_trajectory():
     data = {"question": "Q?", "agent_answer": "42", "hallucination_step": 1, "history": [{"step": 1, "role": "a", "content": "think", "tool_calls": [{"name": "calc"}], "tool_responses": ["6*7=42"]}, {"step": 1, "content": "again", "tool_responses": ["42"]}]}
     run = trajectory.to_run(data)
-    assert kinds(run) == {"question": "document", "s1": "intermediate", "s1.t0": "tool_result", "s1_2": "intermediate", "s1_2.t0": "intermediate", "answer": "final_answer"}
+    assert kinds(run) == {"question": "document", "s1": "intermediate", "s1.t0": "tool_result", "s1_2": "intermediate", "s1_2.t0": "tool_result", "answer": "final_answer"}
     assert native.rows(run)["steps"][-1]["inputs"] == ["question", "s1", "s1.t0", "s1_2", "s1_2.t0"]
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.operators import auditability, balance, gates, integrity, ledger
-from tracewell.plans.model import Runs
+from tracewell.plans.model import Runs, by_run
 from tracewell.sources.files import read_runs, without
 
 
@@ -23,12 +23,14 @@ class Audit:
 def audit(spark: SparkSession, source: str | Runs, form: str | None = None, **options) -> Audit:
     """Runs that contradict themselves are named in bad_runs and left out of the rest."""
     if isinstance(source, Runs):
-        runs, bad = source, integrity.bad_runs(source)
+        runs = source.dealt()
+        bad = integrity.bad_runs(runs)
     else:
         runs, unread, _ = read_runs(spark, source, form, **options)
         bad = unread.union(integrity.bad_runs(runs))
-    runs = without(runs, bad)
-    entries = gates.verify(runs)
+    bad = by_run(bad)
+    runs = without(runs, bad).dealt()
+    entries = by_run(gates.verify(runs))
     claims = ledger.close_books(runs, entries)
     return Audit(runs, bad, entries, claims, balance.trial_balance(runs, claims))
 

@@ -293,14 +293,17 @@ def hop_answer_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.answer_cover(runs, ledger.close_books(runs)).select("run_id", "total", "claimed", "closed")
 
 
-@query(_HOP + _HOP_STATUS + "SELECT run_id, claim_id, status, 'summary.c3' AS break_claim_id, 's2' AS break_step_id, 'model prior, no external evidence' AS break_reason FROM s WHERE status IN ('laundered', 'prior_only')")
+@query(_HOP + _HOP_STATUS + "SELECT run_id, claim_id, status, 'summary.c3' AS break_claim_id, 's2' AS break_step_id, 'model prior, no external evidence' AS break_reason FROM s WHERE status IN ('laundered', 'prior_only') AND claim_id LIKE 'answer.%'")
 def hop_injection_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balance.injection_points(ledger.close_books(_hops(spark, sf_dir)))
+    runs = _hops(spark, sf_dir)
+    return balance.injection_points(runs, ledger.close_books(runs))
 
 
-@query(_HOP + _HOP_STATUS + "SELECT status, count(*) AS n FROM s GROUP BY status")
+@query(_HOP + _HOP_STATUS + "SELECT status, count(*) AS n FROM s WHERE claim_id LIKE 'answer.%' GROUP BY status")
 def hop_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.close_books(_hops(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+    """Of the claims of final answers."""
+    runs = _hops(spark, sf_dir)
+    return balance.final_claims(runs, ledger.close_books(runs)).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.functions.locate import words
+
 #: Words whose full stop ends no sentence; initialisms ("U.S.", "e.g.") are read by their shape.
 ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "St", "Inc", "Ltd", "Co", "Corp", "No", "Fig", "vs", "approx")
 #: A sentence has so many characters and words at least; lines that open a heading or a table row have none.
@@ -36,7 +38,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
         for stop in _ends(line) if line.lstrip()[:1] not in (*NOT_OPENING, "") else ():
             part = line[start:stop]
             lead = len(part) - len(part.lstrip())
-            if len(part) - lead >= LEAST_CHARS and len(re.findall(r"\w+", part)) >= LEAST_WORDS:
+            if len(part) - lead >= LEAST_CHARS and len(words(part)) >= LEAST_WORDS:
                 out.append((base + start + lead, base + stop))
             start = stop
         base += len(line) + 1

@@ -16,10 +16,12 @@ def normal_form(text: pd.Series) -> pd.Series:
 
 
 def _gate(text: str, start: int, end: int, quote: str) -> str:
-    if quotes.cuts_a_number(text, start, end):
-        return "span_cuts_a_number"
-    if quotes.cuts_a_word(text, start, end):
-        return "span_cuts_a_word"
+    if start < end:
+        around = quotes.Around(text, start, end)
+        if around.cuts_a_number():
+            return "span_cuts_a_number"
+        if around.cuts_a_word():
+            return "span_cuts_a_word"
     return "ok" if quotes.says_the_same(normal(text[start:end]), normal(quote)) else "span_mismatch"
 
 

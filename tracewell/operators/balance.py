@@ -21,13 +21,14 @@ def final_claims(runs: Runs, audits: DataFrame) -> DataFrame:
 
 
 def status_counts(audits: DataFrame) -> DataFrame:
-    """(run_id, one column a status): the histogram, zeros included."""
+    """(run_id, one column a status): the histogram, zeros included. Of final_claims() it is the headline; audits hold
+    every intermediate claim too."""
     return audits.groupBy("run_id").agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
 
 
-def injection_points(audits: DataFrame) -> DataFrame:
-    """Where each failing claim's chain breaks."""
-    return audits.where(F.col("status").isin(*FAILING)).select("run_id", "claim_id", "status", "break_claim_id", "break_step_id", "break_reason")
+def injection_points(runs: Runs, audits: DataFrame) -> DataFrame:
+    """Where the chain of each failing claim of a final answer breaks."""
+    return final_claims(runs, audits).where(F.col("status").isin(*FAILING)).select("run_id", "claim_id", "status", "break_claim_id", "break_step_id", "break_reason")
 
 
 def _letters_under(runs: Runs, spans: DataFrame, name: str) -> DataFrame:

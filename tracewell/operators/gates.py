@@ -6,10 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.quotes import RUN, RUNS
+from tracewell.functions.signs import RUN, RUNS
 from tracewell.functions.udfs import quote_gate
 from tracewell.operators.graph import components
-from tracewell.plans.model import OK, REASONS, Runs, account, is_blank, is_root, step_inputs, step_outputs
+from tracewell.plans.model import OK, REASONS, Runs, account, by_run, is_blank, is_root, step_inputs, step_outputs
 
 #: Characters of the source on either side of a span that the boundary rules can see.
 AROUND = RUNS * RUN
@@ -55,7 +55,7 @@ def verify(runs: Runs) -> DataFrame:
     source = made.select("run_id", F.col("artifact_id").alias("cited_id"), F.col("step_id").alias("cited_step"))
     cited = runs.artifacts.select("run_id", F.col("artifact_id").alias("cited_id"), F.col("kind").alias("cited_kind"), F.col("content").alias("cited_content"))
     declared = runs.assumptions.select("run_id", F.col("id").alias("label"), F.lit(True).alias("declared"))
-    loops = step_loops(runs)
+    loops = by_run(step_loops(runs))
     e = e.join(claims, ["run_id", "claim_id"]).join(maker, ["run_id", "claim_artifact"], "left").join(cited, ["run_id", "cited_id"], "left").join(source, ["run_id", "cited_id"], "left").join(declared, ["run_id", "label"], "left")
     e = e.join(loops.select("run_id", F.col("step_id").alias("claim_step"), F.col("loop").alias("claim_loop")), ["run_id", "claim_step"], "left")
     e = e.join(loops.select("run_id", F.col("step_id").alias("cited_step"), F.col("loop").alias("cited_loop")), ["run_id", "cited_step"], "left")

@@ -11,9 +11,10 @@ from tracewell.plans.model import STATUSES, Runs
 
 def payloads(runs: Runs, audits: DataFrame, balance: DataFrame) -> DataFrame:
     """(run_id, json): the audit of each run as one JSON object, its final claims in the order of their ids."""
-    counts = status_counts(audits)
+    finals = final_claims(runs, audits)
+    counts = status_counts(finals)
     claim = F.struct("claim_id", "status", "text", "depth", "chain", "break_claim_id", "break_step_id", "break_reason")
-    claims = final_claims(runs, audits).groupBy("run_id").agg(F.sort_array(F.collect_list(claim)).alias("claims"))
+    claims = finals.groupBy("run_id").agg(F.sort_array(F.collect_list(claim)).alias("claims"))
     x = balance.drop("laundered", "unchecked", "claims").join(counts, "run_id", "left").join(claims, "run_id", "left")
     answer = F.struct(F.col("total").alias("letters"), "claimed", "closed", "mostly_unclaimed")
     body = F.struct("coverage", "laundering_rate", "books_balance", answer.alias("answer"), F.struct(*STATUSES).alias("counts"), "claims", "reasons", "exit_code")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARTIFACTS = "run_id string, artifact_id string, kind string, content string, title string, ord int"
@@ -33,6 +34,37 @@ MATCHABLE = 20
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir, which the driver and all executors share. Only a
+    session on one machine without that setting (as in tests) gets a temporary one."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def by_run(df: DataFrame) -> DataFrame:
+    """df dealt by run_id and checkpointed: joins, windows and groups within runs then need no exchange, and what led
+    to df is planned once.
+
+    A checkpoint keeps its partitioning only if it isn't planned adaptively; joins on run_id and more keys use it only
+    if one of the keys is allowed to do. The second setting stays for the session.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_id")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        return dealt.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 @dataclass(frozen=True)
 class Runs:
     """Many recorded runs."""
@@ -43,6 +75,10 @@ class Runs:
     entries: DataFrame
     assumptions: DataFrame
 
+    def dealt(self) -> Runs:
+        """The five tables by_run()."""
+        return Runs(*map(by_run, (self.artifacts, self.steps, self.claims, self.entries, self.assumptions)))
+
     def run_ids(self) -> DataFrame:
         """The run_id of every run that has an artifact or a step."""
         return self.artifacts.select("run_id").union(self.steps.select("run_id")).distinct()

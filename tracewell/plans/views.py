@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracewell.plans.model import ASSUMPTIONS, CLAIMS, ENTRIES, Runs
+from tracewell.plans.model import ASSUMPTIONS, CLAIMS, ENTRIES, Runs, by_run
 
 #: What is done to a two-hop run's entries, by doc_id modulo their number.
 MUTATIONS = ("none", "not_an_input", "unknown_artifact", "own_artifact", "past_the_end", "empty_quote", "inside_a_word", "other_letter", "undeclared")
@@ -19,7 +19,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chats(conversations: DataFrame) -> Runs:
     """Each conversation as a run: user and system turns are documents, assistant turns model text made from all that
     came before; the last of them is the answer."""
-    x = conversations.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").cast("int").alias("ord"), "role", F.coalesce("text", F.lit("")).alias("content"))
+    x = by_run(conversations.select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").cast("int").alias("ord"), "role", F.coalesce("text", F.lit("")).alias("content")))
     whole = W.partitionBy("run_id")
     told = F.col("role") == "assistant"
     last = F.max(F.when(told, F.col("ord"))).over(whole)
@@ -48,6 +48,7 @@ def hops(documents: DataFrame, mutated: bool = False) -> Runs:
     odd = F.col("doc_id") % 2 == 1
     n = {c: F.length(c) for c in ("p0", "p1", "inv", "doc")}
     d = d.select("doc_id", F.col("doc_id").cast("string").alias("run_id"), "doc", "p0", "p1", "inv", F.concat_ws(" ", "p0", "p1", "inv").alias("summary"), F.when(odd, F.concat_ws(" ", "p0", "inv")).otherwise(F.concat_ws(" ", "p0", "p1")).alias("answer"), F.when(odd, F.col("inv")).otherwise(F.col("p1")).alias("second"), odd.alias("odd"))
+    d = by_run(d)
 
     def rows(*structs: Column) -> DataFrame:
         return d.select("run_id", F.explode(F.array(*structs)).alias("x")).select("run_id", "x.*")

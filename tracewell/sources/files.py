@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.plans.model import ARTIFACTS, ASSUMPTIONS, CLAIMS, ENTRIES, STEPS, Runs
+from tracewell.plans.model import ARTIFACTS, ASSUMPTIONS, CLAIMS, ENTRIES, STEPS, Runs, by_run
 from tracewell.sources import chat, native, spans, trajectory
 
 TABLES = {"artifacts": ARTIFACTS, "steps": STEPS, "claims": CLAIMS, "entries": ENTRIES, "assumptions": ASSUMPTIONS}
@@ -68,11 +68,11 @@ def read_runs(spark: SparkSession, path: str, form: str | None = None, **options
             yield pd.DataFrame(out, columns=["run_id", "part", "payload"], dtype=object)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    parsed = files.select("path", "content").mapInPandas(parse, "run_id string, part string, payload string")
+    parsed = by_run(files.select("path", "content").mapInPandas(parse, "run_id string, part string, payload string"))
 
     def typed(part: str, schema: str) -> DataFrame:
         row = T.ArrayType(T.StructType.fromDDL(schema))
-        return parsed.where(F.col("part") == part).select(F.explode(F.from_json("payload", row)).alias("x")).select("x.*")
+        return parsed.where(F.col("part") == part).select("run_id", F.explode(F.from_json("payload", row)).alias("x")).select("run_id", *(f"x.{f.name}" for f in row.elementType.fields if f.name != "run_id"))
 
     errors = parsed.where("part = 'error'").select("run_id", F.get(F.from_json("payload", T.ArrayType(T.StringType())), 0).alias("error"))
     runs = Runs(*(typed(k, TABLES[k]) for k in ("artifacts", "steps", "claims", "entries", "assumptions")))
