@@ -1,19 +1,33 @@
 """Queries over all rows: paths for large tables against those for small ones, and rows that SQL leaves out."""
 
+import pytest
+
 from tracewell import catalog
 from tracewell.functions.udfs import _gate
 
 
-def test_quotes_by_hash_as_by_broadcast(spark, tmp_path, monkeypatch):
+def test_quotes_in_any_number_of_passes(spark, tmp_path):
     long = "A sentence of the benchmark that is longer than its key."
     docs = [(1, f"Before. {long} After."), (None, f"{long} cat"), (2, "cat"), (3, None), (4, ""), (5, "a cat, a cat é日本"), (5, "another cat"), (6, "cat"), (6, "cat"), (7, long[:24] + "!")]
     items = [(1, long), (2, "cat"), (3, "c"), (4, "é日本"), (5, "cat"), (5, "cat"), (6, ""), (7, None), (8, long[:24]), (9, long[:23]), (None, "another"), (10, "nowhere")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = sorted(((i, d, t.index(q)) for i, q in items if q for d, t in docs if t and q in t), key=repr)
-    for rows in (10_000, 0):
-        monkeypatch.setattr(catalog, "QUOTE_ROWS", rows)
-        assert sorted(map(tuple, catalog.benchmark_in_documents(spark, str(tmp_path)).collect()), key=repr) == want
+    assert sorted(map(tuple, catalog.benchmark_in_documents(spark, str(tmp_path)).collect()), key=repr) == want
+    read = [spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("benchmark", "documents")]
+    for most in (250, 10**6):
+        got = catalog.found_quotes(read[0].where("text <> ''").selectExpr("item_id", "text AS quote"), read[1], most)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("width", [1, 5, 23, 24, 40])
+def test_items_of_every_length_are_found(spark, width):
+    text = "The quick brown fox jumps over the lazy dog and runs away from it."
+    items = spark.createDataFrame([(k, text[k : k + width]) for k in range(len(text) - width + 1)], "item_id long, quote string")
+    docs = spark.createDataFrame([(7, text), (8, "nothing")], "doc_id long, text string")
+    want = sorted((k, 7, text.index(text[k : k + width])) for k in range(len(text) - width + 1))
+    for most in (2500, 10**6):
+        assert sorted(map(tuple, catalog.found_quotes(items, docs, most).where("doc_id = 7").collect())) == want
 
 
 def test_gates_answer_for_runs_with_numbers(spark, tmp_path):

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.sentences import sentence_spans
 from tracewell.functions.udfs import normal_form
-from tracewell.operators import auditability, balance, evaluate, gates, integrity, ledger, spans
+from tracewell.operators import auditability, balance, evaluate, gates, integrity, ledger, spans, study
 from tracewell.plans import fixtures, views
-from tracewell.plans.model import Runs, is_root, piece
+from tracewell.plans.model import Runs, by_run, is_blank, is_root, piece
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-#: Rows up to which a table of quotations is broadcast against all documents.
-QUOTE_ROWS = 10_000
+#: Characters of the quotations that one automaton holds, each counted as 64 more.
+QUOTE_CHARS = 16_000_000
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -123,10 +124,13 @@ def conv_step_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- documents -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY CAST(doc_id AS VARCHAR)) AS ids, count(*) AS n FROM documents WHERE trim(text) <> '' GROUP BY text HAVING count(*) > 1")
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE trim(text) <> '' QUALIFY count(*) OVER (PARTITION BY text) > 1")
 def doc_duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.read(spark, sf_dir, "documents").select(F.lit("all").alias("run_id"), F.col("doc_id").cast("string").alias("artifact_id"), F.coalesce("text", F.lit("")).alias("content"))
-    return auditability.duplicate_content(docs).select(F.array_join("ids", ",").alias("ids"), F.size("ids").cast("long").alias("n"))
+    """Documents whose text another one has too, with the first of them. Texts are told by their SHA-256, so neither
+    they nor the members of a group are gathered."""
+    docs = views.read(spark, sf_dir, "documents").where(~is_blank(F.col("text"))).select("doc_id", F.unhex(F.sha2("text", 256)).alias("key"))
+    same = docs.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    return docs.join(same, "key").select("doc_id", "first_id", "n")
 
 
 @query("SELECT doc_id, trim(lower(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g'))) AS normal FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
@@ -151,28 +155,48 @@ def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT b.item_id, d.doc_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")
 def benchmark_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold an item word for word. Items are broadcast where they are few; else they are met on the hash
-    of their first 24 characters, shorter ones on the hash of all of theirs."""
+    """Which documents hold an item word for word."""
     items = views.read(spark, sf_dir, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("quote"))
-    docs = views.read(spark, sf_dir, "documents").select("doc_id", "text")
-    if items.count() <= QUOTE_ROWS:
-        met = docs.join(F.broadcast(items), F.contains("text", "quote"))
-    else:
-        # a quotation's first characters, 24 or all it has, are one of the document's runs of so many characters
-        quotes = items.select("quote", F.least(F.length("quote"), F.lit(24)).alias("width")).distinct()
-        quotes = quotes.withColumn("h", F.xxhash64(F.substring("quote", 1, 24)))
-        docs = docs.withColumn("whole", F.xxhash64("text"))
-
-        def runs(width: int) -> DataFrame:
-            fit = docs.where(F.length("text") >= width)
-            hashes = F.transform(F.sequence(F.lit(1), F.length("text") - (width - 1)), lambda k: F.xxhash64(F.substring(F.col("text"), k, F.lit(width))))
-            return fit.select("whole", F.explode(F.array_distinct(hashes)).alias("h"), F.lit(width).alias("width"))
-
-        widths = sorted(r["width"] for r in quotes.select("width").distinct().collect())  # 24 at most
-        starts = reduce(DataFrame.union, map(runs, widths))
-        tied = starts.join(quotes, ["width", "h"]).select("whole", "quote").distinct()
-        met = tied.join(docs, "whole").where(F.contains("text", "quote")).join(items, "quote")
-    return met.select("item_id", "doc_id", (F.instr("text", F.col("quote")) - 1).cast("long").alias("start"))
+    return found_quotes(items, views.read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def found_quotes(items: DataFrame, docs: DataFrame, most: int = QUOTE_CHARS) -> DataFrame:
+    """(item_id, doc_id, start): where docs(doc_id, text) first hold items(item_id, quote), null ids included.
+
+    An automaton of the quotations goes through every text once. Quotations are dealt by hash into as many automata as
+    keep each within `most` characters, which bounds what a pass brings to the driver and to the executors; a text is
+    passed through all of them, so the result doesn't depend on their number.
+    """
+    size = items.agg(F.sum(F.length("quote") + 64)).first()[0] or 0
+    passes = -(-size // most)
+    parts = []
+    for k in range(passes):
+        own = items.where(F.pmod(F.xxhash64("quote"), F.lit(passes)) == k).groupBy("quote").agg(F.collect_list(F.struct("item_id")).alias("ids"))
+        quotes = {r["quote"]: [x["item_id"] for x in r["ids"]] for r in own.toLocalIterator()}
+        parts.append(docs.mapInArrow(_matches(docs.sparkSession.sparkContext.broadcast(quotes)), "item_id long, doc_id long, start long"))
+    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], "item_id long, doc_id long, start long")
+
+
+def _matches(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for quote, ids in shared.value.items():
+            automaton.add_word(quote, (len(quote), ids))
+        if shared.value:
+            automaton.make_automaton()
+        for b in batches:
+            found: list[tuple] = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                first: dict[int, tuple] = {}
+                for end, (n, ids) in automaton.iter(text) if text and shared.value else ():
+                    first.setdefault(id(ids), (ids, end - n + 1))
+                found += [(item, doc, start) for ids, start in first.values() for item in ids]
+            cols = list(zip(*found, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item_id", "doc_id", "start"])
+
+    return run
 
 
 _SPANS = """WITH n AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0),
@@ -388,3 +412,78 @@ def labels_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labels_stratified_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.read(spark, sf_dir, "documents").select("doc_id", "source")
     return evaluate.stratified_permutation(_labels(spark, sf_dir).join(docs, "doc_id"), "doc_id", "source", "p", "t", draws=100)
+
+
+@query()
+def labels_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two flags for toxic documents, low quality and more than 400 words, on the same resampled documents."""
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", (F.size(F.split("text", " ")) > 400).alias("long"))
+    return evaluate.paired_bootstrap_f1(_labels(spark, sf_dir).join(docs, "doc_id"), "doc_id", "t", "p", "long", draws=200)
+
+
+@query(
+    "WITH x AS (SELECT doc_id, coalesce(toxic, 0) = 1 AS has FROM labels), s AS (SELECT doc_id, has FROM x WHERE has ORDER BY md5('0:' || doc_id), doc_id LIMIT 30), "
+    "o AS (SELECT doc_id, has FROM x WHERE NOT has ORDER BY md5('0:' || doc_id), doc_id LIMIT 20), u AS (SELECT * FROM s UNION ALL SELECT * FROM o) "
+    "SELECT doc_id, has, row_number() OVER (ORDER BY md5('1:' || doc_id), doc_id) AS place FROM u"
+)
+def labels_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 50 labelled documents, 60 % of them toxic (as many as there are)."""
+    x = views.read(spark, sf_dir, "labels").select("doc_id", (F.coalesce("toxic", F.lit(0)) == 1).alias("has"))
+    return study.enriched(x, "doc_id", "has", 50).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_SPANS + ", h AS (SELECT l.*, EXISTS (SELECT 1 FROM r WHERE r.doc_id = l.doc_id AND l.s < r.e AND r.s < l.e) AS hit FROM l) SELECT count(*) AS n, count(*) FILTER (WHERE hit) AS hit, coalesce(count(*) FILTER (WHERE hit) / nullif(count(*), 0), 0.0) AS rate FROM h")
+def span_natural_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _tiles(spark, sf_dir, 200, 200, False), _tiles(spark, sf_dir, 150, 220, True)
+    return study.natural_rate(left, right.select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end")), "doc_id")
+
+
+@query(_CHAT + "SELECT run_id, arg_min(role <> 'assistant', md5('0:' || run_id || ':' || turn)) AS beyond FROM a GROUP BY run_id")
+def conv_placebo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a turn drawn at random from each conversation is not the assistant's."""
+    a = _chats(spark, sf_dir).artifacts.select("run_id", "ord", (F.col("title") != "assistant").alias("beyond"))
+    return study.placebo(a, "run_id", "ord", "beyond")
+
+
+def _hop_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Runs, DataFrame]:
+    """Odd runs are labelled at their second step, those with an id that 3 divides beyond a tool."""
+    runs = _hops(spark, sf_dir)
+    audits = ledger.close_books(runs)
+    numbers = runs.steps.select("run_id", "step_id", (F.col("ord") + 1).alias("number"))
+    n = F.col("run_id").cast("long")
+    labels = runs.run_ids().select("run_id", F.when(n % 2 == 1, 2).alias("label_step"), (n % 2 == 1).alias("labelled"), (n % 3 == 0).alias("at_boundary"), F.lit("invented").alias("category"), F.when(n % 5 == 0, "fifth").otherwise("other").alias("subcategory"))
+    return study.scores(runs, audits, numbers, labels), labels, runs, audits
+
+
+@query(
+    _HOP
+    + """SELECT run_id, odd AS flagged, CASE WHEN odd THEN '2' ELSE '' END AS break_steps, CAST(CASE WHEN odd THEN 2 END AS INTEGER) AS break_step, CAST(CASE WHEN odd THEN 2 END AS INTEGER) AS label_step,
+  odd AS exact, odd AS label_hit, odd AS within_one, 4 AS answer_step, CAST(2 AS BIGINT) AS final_claims, CASE WHEN odd THEN 0.5 ELSE 0.0 END AS laundering_rate FROM h"""
+)
+def hop_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hop_scores(spark, sf_dir)[0].withColumn("break_steps", F.array_join("break_steps", ","))
+
+
+@query(
+    _HOP
+    + """, t AS (SELECT odd, unnest(CASE WHEN odd AND doc_id % 3 = 0 THEN ['labelled', 'beyond'] WHEN odd THEN ['labelled', 'reachable', 'reachable: invented / ' || CASE WHEN doc_id % 5 = 0 THEN 'fifth' ELSE 'other' END] ELSE ['clean'] END) AS population FROM h)
+SELECT population, count(*) AS n, count(*) FILTER (WHERE odd) AS flagged, count(*) FILTER (WHERE odd) AS exact, count(*) FILTER (WHERE odd) AS label_hit, count(*) FILTER (WHERE odd) AS within_one FROM t GROUP BY population"""
+)
+def hop_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, labels, _, _ = _hop_scores(spark, sf_dir)
+    return study.roll_up(scored, labels)
+
+
+@query(_HOP + "SELECT run_id, 'answer.c2' AS claim_id, CASE WHEN doc_id % 3 = 0 THEN 'quote_fabricated' WHEN doc_id % 3 = 1 THEN 'wrong_artifact_cited' ELSE 'no_credit_offered' END AS bucket FROM h WHERE odd")
+def hop_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why the invented sentence has no credit; of some runs a credit was offered and dropped."""
+    _, _, runs, audits = _hop_scores(spark, sf_dir)
+    n = F.col("run_id").cast("long")
+    reason = F.when(n % 3 == 0, "not found verbatim").when(n % 3 == 1, "not among the step's inputs")
+    dropped = runs.claims.where("claim_id = 'summary.c3'").select("run_id", "claim_id", F.lit("doc").alias("artifact_id"), F.lit("zzz zzzz").alias("quote"), reason.alias("reason"), F.lit("proposer").alias("proposed_by")).where("reason IS NOT NULL")
+    return study.diagnosis(runs, audits, dropped)
+
+
+@query()
+def conv_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study.fingerprints(_chats(spark, sf_dir))

@@ -49,7 +49,7 @@ def reachable_share() -> Column:
 
 def duplicate_content(artifacts: DataFrame) -> DataFrame:
     """(run_id, ids): artifacts of a run with the same text, that is not blank."""
-    same = artifacts.where(~is_blank(F.col("content"))).groupBy("run_id", F.xxhash64("content").alias("h"), "content")
+    same = artifacts.where(~is_blank(F.col("content"))).groupBy("run_id", F.sha2("content", 256).alias("key"))
     return same.agg(F.sort_array(F.collect_list("artifact_id")).alias("ids")).where(F.size("ids") > 1).select("run_id", "ids")
 
 

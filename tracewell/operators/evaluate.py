@@ -1,13 +1,18 @@
 """Evaluation over many runs: confusion metrics, resampling intervals, enrichment and permutation tests.
 
-Draws are a range joined to the rows by a hash, so a resampling is distributed and repeatable; nothing is random.
+Resampling works on counts of equal units, so it is no larger than they; generators are seeded by what they draw for,
+so a resampling repeats exactly.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -43,41 +48,88 @@ def _draw(seed: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)) / float(1 << 53)
 
 
-def bootstrap_f1(rows: DataFrame, unit: str, truth: str, flag: str, draws: int = 1000, seed: int = 7) -> DataFrame:
-    """(point, low, high, draws): F1 with its 95 % percentile interval, resampling whole units.
+def _resampled(rows: DataFrame, unit: str, truth: str, flags: list[str], draws: int, seed: int) -> DataFrame:
+    """(draw, tp0, fp0, fn0, tp1, ...): counts of resampled units, draw 0 as they are.
 
-    A unit's multiplicity in a draw is a Poisson(1) number from a hash of (draw, unit): the bootstrap that needs no
-    shuffle of the rows. Counts are summed by unit before they meet the draws.
+    Units with equal counts are a class; how often a class is drawn is a Poisson number with its size as the mean: the
+    sum of its units' Poisson(1) numbers. Classes are few, so nothing is multiplied by the draws but they.
     """
-    t, p = F.col(truth), F.col(flag)
-    per = rows.groupBy(unit).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
-    u = F.col("u")
-    edges, mass, term = [], 0.0, 0.36787944117144233
-    for k in range(12):
-        mass += term
-        edges.append(mass)
-        term /= k + 1
-    times = sum(((u >= e).cast("int") for e in edges), F.lit(0))
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", _draw(seed, "draw", unit)).withColumn("m", times).where("m > 0")
-    f1 = _share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    scores = drawn.groupBy("draw").agg(*(F.sum(F.col(c) * F.col("m")).alias(c) for c in ("tp", "fp", "fn"))).select(f1.alias("f1"))
-    interval = scores.agg(F.sort_array(F.collect_list("f1")).alias("xs")).select(F.element_at("xs", F.bround(0.025 * (F.size("xs") - 1)).cast("int") + 1).alias("low"), F.element_at("xs", F.bround(0.975 * (F.size("xs") - 1)).cast("int") + 1).alias("high"), F.size("xs").alias("draws"))
-    point = per.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).select(f1.alias("point"))
-    return point.withColumn("one", F.lit(1)).join(interval.withColumn("one", F.lit(1)), "one").drop("one")
+    t = F.col(truth)
+    names = [f"{kind}{k}" for k in range(len(flags)) for kind in ("tp", "fp", "fn")]
+    sums = [F.count_if(c) for f in flags for c in (t & F.col(f), ~t & F.col(f), t & ~F.col(f))]
+    classes = rows.groupBy(unit).agg(*(c.alias(n) for c, n in zip(sums, names, strict=True))).groupBy(*names).agg(F.count("*").alias("units"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            counts, totals = b[names].to_numpy(), np.zeros((draws + 1, len(names)))
+            for row, units in zip(counts, b["units"], strict=True):
+                times = np.concatenate([[units], np.random.default_rng([seed, *row.tolist()]).poisson(units, draws)])
+                totals += times[:, None] * row
+            yield pd.DataFrame(totals.astype("int64"), columns=names).assign(draw=np.arange(draws + 1))[["draw", *names]]
+
+    drawn = classes.mapInPandas(draw, "draw int, " + ", ".join(f"{n} long" for n in names))
+    return drawn.groupBy("draw").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _interval(x: DataFrame, value: Column, draws: int) -> DataFrame:
+    """(point, low, high, draws) of a value of _resampled(): the 95 % percentile interval; `draws` + 1 rows."""
+    xs = F.sort_array(F.collect_list(F.when(F.col("draw") > 0, F.col("v"))))
+    at = lambda q: F.element_at("xs", round(q * (draws - 1)) + 1)
+    return x.select("draw", value.alias("v")).agg(F.max(F.when(F.col("draw") == 0, F.col("v"))).alias("point"), xs.alias("xs")).select("point", at(0.025).alias("low"), at(0.975).alias("high"), F.size("xs").alias("draws"))
+
+
+def _f1_of(k: int) -> Column:
+    tp, fp, fn = (F.col(f"{n}{k}") for n in ("tp", "fp", "fn"))
+    return _share(2 * tp, 2 * tp + fp + fn)
+
+
+def bootstrap_f1(rows: DataFrame, unit: str, truth: str, flag: str, draws: int = 1000, seed: int = 7) -> DataFrame:
+    """(point, low, high, draws): F1 with its 95 % percentile interval, resampling whole units."""
+    return _interval(_resampled(rows, unit, truth, [flag], draws, seed), _f1_of(0), draws)
+
+
+def paired_bootstrap_f1(rows: DataFrame, unit: str, truth: str, one: str, other: str, draws: int = 1000, seed: int = 7) -> DataFrame:
+    """(point, low, high, draws, at_most_0): the difference of two flags' F1 on the same resampled units, and the share
+    of draws in which it is not above 0."""
+    drawn = _resampled(rows, unit, truth, [one, other], draws, seed).withColumn("d", _f1_of(0) - _f1_of(1)).select("draw", "d")
+    below = drawn.where("draw > 0").agg(F.avg((F.col("d") <= 0).cast("int")).alias("at_most_0"))
+    return _interval(drawn, F.col("d"), draws).crossJoin(F.broadcast(below))  # one row by one row
+
+
+def _hypergeometric(rng: np.random.Generator, inside: int, outside: int, ones: int, draws: int) -> np.ndarray:
+    """Draws of how many of `ones` outcomes fall inside; beyond what the generator takes, by the normal limit."""
+    n = inside + outside
+    if n < 10**9:
+        return rng.hypergeometric(inside, outside, ones, draws)
+    mean = ones * (inside / n)
+    spread = (mean * (outside / n) * ((n - ones) / (n - 1))) ** 0.5
+    return np.clip(np.rint(rng.normal(mean, spread, draws)), max(0, ones - outside), min(ones, inside)).astype(np.int64)
 
 
 def stratified_permutation(rows: DataFrame, unit: str, stratum: str, group: str, outcome: str, draws: int = 500, seed: int = 11) -> DataFrame:
     """(observed, p, draws): the difference of mean outcome between group and the rest, and the share of permutations
-    of the outcome within strata that reach it, (r + 1) / (draws + 1)."""
-    x = rows.select(F.col(unit).alias("u"), F.col(stratum).alias("s"), F.col(group).cast("int").alias("g"), F.col(outcome).cast("int").alias("o"))
-    numbered = x.withColumn("place", F.row_number().over(W.partitionBy("s").orderBy("u")))
-    drawn = x.select("u", "s", "o").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    shuffled = drawn.withColumn("place", F.row_number().over(W.partitionBy("draw", "s").orderBy(_draw(seed, "draw", "u"), "u"))).select("draw", "s", "place", F.col("o").alias("o2"))
-    gap = lambda o: F.coalesce(F.avg(F.when(F.col("g") == 1, F.col(o))), F.lit(0.0)) - F.coalesce(F.avg(F.when(F.col("g") == 0, F.col(o))), F.lit(0.0))
-    null = numbered.select("s", "place", "g").join(shuffled, ["s", "place"]).groupBy("draw").agg(gap("o2").alias("d"))
-    seen = x.agg(gap("o").alias("observed")).withColumn("one", F.lit(1))
-    hits = null.withColumn("one", F.lit(1)).join(F.broadcast(seen), "one").groupBy("observed").agg(((F.count_if(F.abs("d") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"))
-    return hits
+    of the outcome within strata that reach it, (r + 1) / (draws + 1).
+
+    Of a permuted stratum only the number of outcomes that fall in the group counts, which is hypergeometric in three
+    counts; so strata are counted, and no row is permuted.
+    """
+    x = rows.select(F.col(stratum).cast("string").alias("s"), F.col(group).cast("int").alias("g"), F.col(outcome).cast("int").alias("o"))
+    counts = x.groupBy("s").agg(F.count_if(F.col("g") == 1).alias("inside"), F.count_if(F.col("g") == 0).alias("outside"), F.count_if(F.col("o") == 1).alias("ones"), F.count_if((F.col("o") == 1) & (F.col("g") == 1)).alias("hits"))
+
+    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            total = np.zeros(draws + 1, np.int64)
+            for s, inside, outside, ones, hits in zip(b["s"], b["inside"], b["outside"], b["ones"], b["hits"], strict=True):
+                rng = np.random.default_rng([seed, zlib.crc32(str(s).encode())])
+                total += np.concatenate([[hits], _hypergeometric(rng, inside, outside, min(ones, inside + outside), draws)])
+            yield pd.DataFrame({"draw": np.arange(draws + 1), "hits": total, "inside": b["inside"].sum(), "outside": b["outside"].sum(), "ones": b["ones"].sum()})
+
+    sums = counts.mapInPandas(permute, "draw int, hits long, inside long, outside long, ones long").groupBy("draw").agg(*(F.sum(c).alias(c) for c in ("hits", "inside", "outside", "ones")))
+    c = F.col
+    d = sums.select("draw", (_share(c("hits"), c("inside")) - _share(c("ones") - c("hits"), c("outside"))).alias("d"))
+    seen = d.where("draw = 0").select(F.col("d").alias("observed"))
+    reached = F.count_if(F.abs("d") >= F.abs("observed") - 1e-12)
+    return d.where("draw > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(((reached + 1) / (F.count("*") + 1)).alias("p"), F.count("*").alias("draws"))
 
 
 def enrichment(rows: DataFrame, hit: str, chance: str) -> DataFrame:
