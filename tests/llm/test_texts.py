@@ -1,5 +1,7 @@
+import hashlib
 import random
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -181,3 +183,25 @@ def test_inline_adverts_leave_their_paragraph_whole():
 def test_very_long_page():
     page = "<nav><a href=/>Home</a></nav><article>" + f"<p>{TEXT}</p><div class=share-price>{MORE}</div>" * 20_000 + "</article><footer>end</footer>"
     assert html_text.main_text(page) == "\n".join([TEXT, MORE] * 20_000)
+
+
+def test_long_pretokens_go_through_the_trie(spark, library):
+    r = random.Random(8)
+    texts = ["x" * 70, "ab" * 4000 + " tail", "".join(r.choice("abcdeé日1") for _ in range(6000)), " ".join("".join(r.choice("thein") for _ in range(r.randint(60, 90))) for _ in range(40))]
+    for nodes in (50, token_counts.NODES):
+        trie = token_counts.Trie(sentence_pieces.pieces_of(sentence_pieces.model_path()), nodes=nodes)
+        assert [n for n, _ in trie.count(texts)] == [len(library.encode(t)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_tokens for r in token_counts.count(docs).orderBy("doc_id").collect()] == [len(library.encode(t)) for t in texts]
+
+
+@pytest.mark.parametrize("chunk", [300, sentence_pieces.CHUNK])
+def test_digest_of_giant_texts(spark, library, chunk):
+    """More chunks than one block combines; texts at the real chunk size; null ids and repeated rows."""
+    r = random.Random(6)
+    long = " ".join("".join(r.choice("theinoa,.é") for _ in range(r.randint(1, 12))) for _ in range(12_000))
+    rows = [(1, long), (None, long), (2, "x" * 40_000), (3, "short"), (3, "short"), (4, None), (5, " " * 33_000 + "end")]
+    want = sorted(((i, len(t or ""), len(ids := library.encode(t or "")), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256((t or "").encode()).hexdigest(), True) for i, t in rows), key=repr)
+    assert len(long) > 64 * 300
+    got = sentence_pieces.digest(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()
+    assert sorted(map(tuple, got), key=repr) == want
