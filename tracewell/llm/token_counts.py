@@ -20,6 +20,8 @@ from tracewell.llm.sentence_pieces import START, Pieces, model_path, pieces_of,
 
 #: Nodes of a worker's trie; it starts anew beyond them, so its memory is bounded.
 NODES = 300_000
+#: Characters of the longest pre-token whose path is kept for the next one.
+PATH = 4096
 _FAR = float("-inf")
 Score = tuple[float, int, int]  # the best weight of a prefix, its last piece, its number of pieces
 
@@ -29,25 +31,28 @@ class Trie:
 
     def __init__(self, pieces: Pieces, nodes: int = NODES):
         self.pieces, self.most = pieces, nodes
-        self.terminal = Memo(self.insert)
+        self.terminal = Memo(self.insert, self.insert_sorted)
         self._clear()
 
     def _clear(self) -> None:
         self.children: list[dict[str, int] | None] = [None]
         self.scores: list[Score] = [(0.0, START, 0)]
 
-    def _step(self, word: str, e: int, before: deque[Score]) -> Score:
-        """The forward score of word[:e] from those of its prefixes, the longest piece's length of them at most."""
+    def _step(self, word: str, e: int, before: deque[Score] | list[Score]) -> Score:
+        """The forward score of word[:e] from those of its prefixes, the last of them in `before`."""
         p = self.pieces
-        found = (_FAR, START, 0)
-        for k in range(1, len(before) + 1):
+        ids, pairs, found = p.ids, p.pairs, (_FAR, START, 0)
+        for k in range(1, min(len(before), p.longest) + 1):
             best, last, count = before[-k]
             if best == _FAR:
                 continue
-            i = p.piece(word[e - k : e])
+            i = ids.get(word[e - k : e])
             if i is None:
-                continue
-            w = best + p.weight(last, i)
+                if k > 1:
+                    continue
+                i = -2 - ord(word[e - 1])
+            known = pairs.get((last, i)) if p.bpe else None
+            w = (0.0 if known else _FAR) if known is not None else best + p.weight(last, i)
             if w > found[0]:
                 found = (w, i, count + (1 if i >= 0 else max(1, len(chr(-2 - i).encode("utf-8", "replace")) if p.bytes else 1)))
                 if p.bpe:
@@ -81,13 +86,49 @@ class Trie:
             before.append(score)
         return before[-1][2]
 
+    def insert_sorted(self, words: list[str]) -> Iterator[int]:
+        """insert() of sorted pre-tokens: each goes on in the trie from where it parts from the one before it."""
+        nodes, scores, before = [0], [self.scores[0]], ""
+        for word in words:
+            if len(word) > PATH:
+                yield self.insert(word)
+                nodes, scores, before = [0], [self.scores[0]], ""
+                continue
+            if len(self.children) > self.most:
+                self._clear()
+                nodes, scores, before = [0], [self.scores[0]], ""
+            k = 0
+            for a, b in zip(before, word, strict=False):
+                if a != b:
+                    break
+                k += 1
+            del nodes[k + 1 :], scores[k + 1 :]
+            children, known = self.children, self.scores
+            for e in range(k + 1, len(word) + 1):
+                node, c = nodes[-1], word[e - 1]
+                below = children[node]
+                following = below.get(c) if below is not None else None
+                if following is None:
+                    score = self._step(word, e, scores)
+                    if below is None:
+                        below = children[node] = {}
+                    following = below[c] = len(children)
+                    children.append(None)
+                    known.append(score)
+                nodes.append(following)
+                scores.append(known[following])
+            before = word
+            yield scores[-1][2]
+
+    def count(self, texts: list[str]) -> list[tuple[int, int]]:
+        """tokens() of many texts; the pre-tokens that are new in them enter the trie together."""
+        parts = [self.pieces.cut(s) if self.pieces.by_words else [s] if s else [] for s in map(self.pieces.normal, texts)]
+        self.terminal.learn({w for part in parts for w in part})
+        return [(sum(map(self.terminal.__getitem__, part)), len(part)) for part in parts]
+
     def tokens(self, text: str) -> tuple[int, int]:
         """The number of pieces and of pre-tokens of a whole text."""
-        s = self.pieces.normal(text)
-        if not s:
-            return 0, 0
-        words = segments(s) if self.pieces.by_words else [s]
-        return sum(self.terminal.of(words)), len(words)
+        return self.count([text])[0]
 
 
 _tries: dict[str, Trie] = {}
@@ -107,7 +148,7 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _tries.get(path) or _tries.setdefault(path, Trie(pieces_of(path)))
         for b in batches:
-            both = [trie.tokens(t) for t in texts(b.column(at))]
+            both = trie.count(texts(b.column(at)))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([x[k] for x in both], pa.int64()) for k in (0, 1))], [*b.schema.names, "n_tokens", "n_pretokens"])
 
     return mapped(docs, run, added(docs, n_tokens=T.LongType(), n_pretokens=T.LongType()))
