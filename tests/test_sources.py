@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 
 from tracewell.audit import audit, check_trace
 from tracewell.operators import auditability, propose
 from tracewell.plans import fixtures
-from tracewell.sources import chat, files, native, spans, trajectory
+from tracewell.sources import chat, echoes, files, native, spans, trajectory
 from tracewell.streaming import recorder
 
 CALL = {"role": "assistant", "content": None, "tool_calls": [{"id": "c1", "function": {"name": "search", "arguments": '{"q": "bridge height"}'}}]}
@@ -21,9 +22,11 @@ def kinds(run):
 
 def test_a_reply_is_evidence_unless_it_is_handed_back():
     assert kinds(chat.to_run(log({"role": "tool", "tool_call_id": "c1", "content": "Height: 134 m"}))) == {"m0": "document", "t2": "tool_result", "a3": "final_answer"}
-    echo = chat.to_run(log({"role": "tool", "tool_call_id": "c1", "content": "Bridge  height"}))
+    echo = chat.to_run(log({"role": "tool", "tool_call_id": "c1", "content": "bridge  height."}))
     assert kinds(echo)["t2"] == "intermediate" and echo["_meta"]["handed_back"] == ["t2"]
-    assert kinds(chat.to_run(log({"role": "tool", "tool_call_id": "c1", "content": "bridge height"}), external_tools=frozenset({"Search"})))["t2"] == "tool_result"
+    other = {"role": "tool", "tool_call_id": "c1", "content": "Bridge  height"}
+    assert kinds(chat.to_run(log(other)))["t2"] == "tool_result"
+    assert kinds(chat.to_run(log(other | {"content": "bridge height"}), external_tools=frozenset({"Search"})))["t2"] == "intermediate"
     assert kinds(chat.to_run(log({"role": "tool", "tool_call_id": "c1", "content": "Height"}), model_text_tools=frozenset({"search"})))["t2"] == "intermediate"
 
 
@@ -124,3 +127,89 @@ def test_recorder(spark, tmp_path):
     (tmp_path / "in/e.json").write_text("\n".join(json.dumps(dict(zip("trace_id seq event call_id name text documents".split(), r, strict=True))) for r in rows))
     recorder.record(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "table")).count() == 4
+
+
+NOTE = "The treaty was signed in Vienna by nine states"
+
+
+def asks(*calls, said=None):
+    return {"role": "assistant", "content": said, "tool_calls": [{"id": i, "function": {"name": n, "arguments": a if isinstance(a, str) else json.dumps(a)}} for i, n, a in calls]}
+
+
+def answers(i, content):
+    return {"role": "tool", "tool_call_id": i, "content": content}
+
+
+def noted(*messages, **options):
+    run = chat.to_run([{"role": "user", "content": "When was it signed?"}, *messages, {"role": "assistant", "content": "It was signed in 1815."}], **options)
+    return [(n["artifact_id"], n["kind"]) for n in run["_meta"]["echo_notes"]], run
+
+
+@pytest.mark.parametrize("messages, want", [
+    ([asks(("c", "save", {"note": NOTE})), answers("c", f"Stored today {NOTE} it says\nfine")], [("t2", "answering_call")]),
+    ([asks(("c", "save", {"note": NOTE})), answers("c", "ok"), asks(("d", "load", {"n": 1})), answers("d", f"Entry one: {NOTE}")], [("t4", "earlier_turn")]),
+    ([asks(("c", "save", {"note": NOTE}), ("d", "load", {"n": 1})), answers("c", "ok"), answers("d", f"{NOTE} indeed")], [("t3", "same_turn")]),
+    ([asks(("c", "load", {"n": 1}), said=f"{NOTE}."), answers("c", NOTE)], [("t2", "model_message")]),
+    ([asks(("c", "load", {"n": 1})), answers("nobody", "Ten ships in the harbour")], [("t2", "unmatched")]),
+    ([asks(("c", "find", {"q": "treaty of Vienna"})), answers("c", "A page of text on many other things and the treaty of Vienna, among them cats and dogs")], []),
+])
+def test_notes_on_replies_that_repeat_the_model(messages, want):
+    got, run = noted(*messages)
+    assert got == want
+    assert all(kinds(run)[i] == "tool_result" for i, _ in got)
+
+
+def test_a_declaration_clears_notes_and_says_so():
+    messages = [asks(("c", "save", {"note": NOTE})), answers("c", f"Stored today {NOTE} it says\nfine")]
+    got, run = noted(*messages, external_tools=frozenset({"Save", "other"}))
+    assert got == [] and [(n["kind"], n["cleared_by"]) for n in run["_meta"]["cleared_notes"]] == [("answering_call", "Save")]
+    assert run["_meta"]["declarations_not_in_log"] == ["other"] and run["_meta"]["undeclared"] == []
+
+
+def test_replies_without_a_call_of_their_own():
+    two = [asks(("", "save", {"note": NOTE}), ("", "think", {"x": "y"})), {"role": "tool", "content": NOTE}, {"role": "tool", "content": "A page from elsewhere"}]
+    assert kinds(noted(*two)[1])["t2"] == "intermediate"
+    _, run = noted(*two, model_text_tools=frozenset({"think"}))
+    assert kinds(run)["t3"] == "intermediate" and run["_meta"]["unresolved"]
+
+
+@pytest.mark.parametrize("reply, arguments, yes", [
+    ("Canberra.", {"city": "Canberra"}, True), ('"Canberra"', {"city": "Canberra"}, True), ('{"saved": true, "text": "a note of mine"}', {"note": "a note of mine"}, True),
+    ('{"id": 4, "type": "Buy"}', {"side": "Buy"}, False), ("Saved: a note of mine", {"note": "a note of mine"}, True), ("12", "final_answer(12)", True), ("e", {"x": "apple e"}, True),
+    ("A page\nwith e\ne", {"x": "apple e"}, False), ("x", '{"cols": {"x": 1}}', False), ("a\u00a0note\u200b of mine", {"note": "a note of mine"}, True), ("caf\\u00e9 noir", {"n": "café noir"}, True),
+])
+def test_a_value_handed_back(reply, arguments, yes):
+    assert echoes.is_a_value(reply, arguments if isinstance(arguments, str) else json.dumps(arguments, ensure_ascii=False)) is yes
+
+
+def test_shares_are_those_of_a_plain_search():
+    r = random.Random(3)
+    for _ in range(300):
+        texts = [[r.choice(("aaaa", "bbbb", "cccc", "dd")) for _ in range(r.randint(1, 9))] for _ in range(r.randint(1, 4))]
+        written = echoes.Written()
+        for t in texts:
+            written.add(" ".join(t))
+        reply = [r.choice(("aaaa", "bbbb", "cccc", "dd", "eeee")) for _ in range(r.randint(1, 9))]
+        k = covered = 0
+        while k < len(reply):
+            end = k
+            while end < len(reply) and any(t[i : i + end + 1 - k] == reply[k : end + 1] for t in texts for i in range(len(t))):
+                end += 1
+            n = sum(map(len, reply[k:end]))
+            covered += n if n >= echoes.RUN_CHARS else 0
+            k = max(end, k + 1)
+        assert abs(written.share(" ".join(reply))[0] - covered / sum(map(len, reply))) < 1e-9
+
+
+def test_trajectory_echoes_and_labels():
+    history = [
+        {"step": 1, "content": "I will look", "tool_calls": [{"name": "search", "arguments": {"q": "the answer is Canberra"}}], "tool_responses": ["Canberra is a city\nthe answer is Canberra"]},
+        {"step": 2, "tool_calls": [{"name": "final_answer", "arguments": "x"}], "tool_responses": ["something else"]},
+        {"step": 3, "tool_calls": [{"name": "search"}], "tool_responses": ["z" * 30, "", None, {"a": 1}]},
+    ]
+    run = trajectory.to_run({"question": "Q?", "agent_answer": "the answer is Canberra", "hallucination_step": "3", "is_hallucination": "True", "history": history, "agent_type": "X-CodeAct"}, tool_chars=25)
+    assert kinds(run) == {"question": "document", "s1": "intermediate", "s1.t0": "tool_result", "s2.t0": "intermediate", "s3.t0": "tool_result", "s3.t3": "tool_result", "answer": "final_answer"}
+    meta = run["_meta"]
+    assert meta["at_boundary"] and meta["code_agent"] and meta["labelled"] and meta["label_step"] == 3 and meta["truncated"] == ["s1.t0", "s3.t0"]
+    assert meta["history_step_of"] == {"s1": 1, "s1.tools": 1, "s2.tools": 2, "s3.tools": 3}
+    assert kinds(trajectory.to_run({"agent_answer": "the answer is Canberra", "history": history[:1]}))["s1.t0"] == "intermediate"

@@ -57,7 +57,9 @@ def by_run(df: DataFrame) -> DataFrame:
     shared_folder(spark)
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    dealt = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_id")
+    parts, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    local = spark.sparkContext.master.split("[")[0] == "local"  # one machine has no use for more parts than its cores
+    dealt = df.repartition(min(parts, cores) if local else parts, "run_id")
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         return dealt.checkpoint()

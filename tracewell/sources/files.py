@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from tracewell.plans.model import ARTIFACTS, ASSUMPTIONS, CLAIMS, ENTRIES, STEPS, Runs, by_run
 from tracewell.sources import chat, native, spans, trajectory
 
+NOTES = "run_id string, note string, artifact_id string, detail string"
+#: Notes of native traces that must be lists of texts.
+LISTED = ("truncated", "skipped_empty", "unmatched", "uncertain", "handed_back", "undeclared")
 TABLES = {"artifacts": ARTIFACTS, "steps": STEPS, "claims": CLAIMS, "entries": ENTRIES, "assumptions": ASSUMPTIONS}
 FORMATS = ("native", "otel", "openai", "trajectory")
 
@@ -32,6 +35,13 @@ def detect(data: Any) -> str:
     return fits[0]
 
 
+def note_row(run_id: str, note: str, value: Any) -> dict[str, Any]:
+    """What a reader notes of an artifact; more than its id is a JSON object."""
+    if isinstance(value, dict):
+        return {"run_id": run_id, "note": note, "artifact_id": str(value.get("artifact_id", "")), "detail": json.dumps(value)}
+    return {"run_id": run_id, "note": note, "artifact_id": str(value), "detail": None}
+
+
 def read_document(raw: bytes, form: str | None = None, **options: Any) -> tuple[dict[str, list[dict]], dict]:
     """(rows of the five tables, the reader's notes) of a document."""
     data = native.parse(raw)
@@ -43,11 +53,15 @@ def read_document(raw: bytes, form: str | None = None, **options: Any) -> tuple[
     else:
         made = (spans if form == "otel" else chat).to_run(data, **options)
     notes = made.get("_meta") if isinstance(made, dict) else None
-    return native.rows(made), notes if isinstance(notes, dict) else {}
+    notes = notes if isinstance(notes, dict) else {}
+    for k in LISTED:
+        if form == "native" and k in notes and not (isinstance(notes[k], list) and all(isinstance(i, str) for i in notes[k])):
+            raise native.Malformed(f"_meta.{k} is no list of texts")
+    return native.rows(made), notes
 
 
 def read_runs(spark: SparkSession, path: str, form: str | None = None, **options: Any) -> tuple[Runs, DataFrame, DataFrame]:
-    """(runs, bad_runs(run_id, error), notes(run_id, note, artifact_id)) of the files under a path.
+    """(runs, bad_runs(run_id, error), notes(run_id, note, artifact_id, detail)) of the files under a path.
 
     A file is a run; its path is the run_id. Files are read by Spark, so any store that it knows will do. Each is
     parsed once, on an executor; the tables are typed from the parsed parts by explicit schemas.
@@ -63,7 +77,7 @@ def read_runs(spark: SparkSession, path: str, form: str | None = None, **options
                     out.append((name, "error", json.dumps([str(e)])))
                     continue
                 out += [(name, k, json.dumps([x | {"run_id": name} for x in v], ensure_ascii=False)) for k, v in parts.items() if v]
-                listed = [{"run_id": name, "note": k, "artifact_id": str(i)} for k, v in notes.items() if isinstance(v, list) for i in v]
+                listed = [note_row(name, k, i) for k, v in notes.items() if isinstance(v, list) for i in v]
                 out.append((name, "notes", json.dumps(listed, ensure_ascii=False)))
             yield pd.DataFrame(out, columns=["run_id", "part", "payload"], dtype=object)
 
@@ -76,7 +90,7 @@ def read_runs(spark: SparkSession, path: str, form: str | None = None, **options
 
     errors = parsed.where("part = 'error'").select("run_id", F.get(F.from_json("payload", T.ArrayType(T.StringType())), 0).alias("error"))
     runs = Runs(*(typed(k, TABLES[k]) for k in ("artifacts", "steps", "claims", "entries", "assumptions")))
-    return runs, errors, typed("notes", "run_id string, note string, artifact_id string")
+    return runs, errors, typed("notes", NOTES)
 
 
 def without(runs: Runs, bad: DataFrame) -> Runs:
