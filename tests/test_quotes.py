@@ -85,3 +85,43 @@ def test_locate():
 def test_sentences():
     text = "Dr. Smith went to the U.S. in May. He came back later.\n# a heading of words here\nShort.\nIt cost 3.5 dollars more"
     assert [text[a:b] for a, b in sentences(text)] == ["Dr. Smith went to the U.S. in May.", "He came back later.", "It cost 3.5 dollars more"]
+
+
+@pytest.mark.parametrize("text, quote, cut", [
+    ("a loss of -$5.2 million", "$5.2 million", True), ("a loss of -$5.2 million", "-$5.2 million", False), ("x=5 here", "5 here", False), ("Version 1→2 is out", "2 is", False), ("US$1.183 billion", "1.183", True),
+    ("65+ years", "65", True), ("72° today", "72", True), ("margin - 5.2 % of it", "5.2 %", True), ("margin - 5.2 % of it", "- 5.2 %", False), ("a rise (5%) was", "5%", True), ("it is 3947 / 7 now", "7 now", True),
+    ("| 5 | 6 |", "5", False), ("Bond 007•398K views", "398K", False), ("take 5 ½ cups", "½ cups", True), ("10⁻31 kg", "31 kg", True), ("list\n- 5 apples", "5 apples", False), ("so - 5 apples", "5 apples", True),
+    ("some € 120 now", "120 now", True), ("it is 25 °C now", "25", True), ("arXiv:1804.1", "1804.1", False), ('"Paris",2161000', "2161000", False), ("about ,500 people", "500 people", True), ("a .5% share", "5% share", True),
+    ("5-year plan", "5", False), ("$100-$300 each", "$300 each", True), ("66 300 people", "300 people", True), ("66​300", "300", True), ("2011 300 people", "300 people", False), ("it cost 5 € in all", "5", True), ("paid 5 €3 back", "5", False),
+])
+def test_numbers_are_read_whole(text, quote, cut):
+    at = text.rindex(quote)
+    assert cuts_a_number(text, at, at + len(quote)) is cut
+
+
+@given(st.lists(st.sampled_from(["5", "66", "300", "½", "²", "$", "€", "-", "+", ".", ",", ":", "%", "°", " ", "  ", "x", "word", "(", ")", "/", "×", "=", "|", "\n", "​"]), max_size=12), st.data())
+def test_spans_between_numbers_cut_none(parts, data):
+    """A span that is all of its text cuts nothing; one that cuts a number is no longer cut when it takes all of the text."""
+    text = "".join(parts)
+    assert not text or not cuts_a_number(text, 0, len(text))
+    if len(text) > 1:
+        a = data.draw(st.integers(0, len(text) - 1))
+        b = data.draw(st.integers(a + 1, len(text)))
+        if not any(unicodedata.category(c)[0] == "N" for c in text[a:b]):
+            assert not cuts_a_number(text, a, b) or unicodedata.category(text[a - 1 : a] or "x")[0] == "N"
+
+
+def test_words_of_a_text():
+    from tracewell.functions.locate import core, outside, words
+
+    assert [w for *_, w in words("A 3.5% rise, (5%) or -7 in 2020-2021; don't (you)")] == ["a", "3.5%", "rise", "(5%)", "or", "-7", "in", "2020-2021", "don", "t", "you"]
+    assert core('  "Yes," he said.', (0, 17)) == (3, 16) and outside("ab cd ef", (0, 8), [(0, 2)]) == 4
+
+
+@pytest.mark.parametrize("text, quote, found", [
+    ("a loss of $5 million", "-$5 million", None), ("a loss of -$5 million", "loss of -$5 million", "loss of -$5 million"), ("COVID-19 cases rose", "covid 19 cases", "COVID-19 cases"), ("it rose (5%) then", "rose 5% then", None),
+    ("One, two; three", "one two three", "One, two; three"), ("66 300 people", "300 people", None), ("...", "...", None),
+])
+def test_located_with_the_numbers_that_are_stated(text, quote, found):
+    span = tolerant(text, quote)
+    assert (span and text[slice(*span)]) == found

@@ -363,6 +363,58 @@ def fixture_laundered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.trial_balance(runs, ledger.close_books(runs))
 
 
+# --- webs: claims that close or fail for every reason, alone and in groups ------------------------------------------
+
+_WEB = """
+WITH d AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS run_id, doc_id % 5 AS a, doc_id // 5 % 5 AS b, doc_id // 25 % 4 AS c, doc_id // 100 % 5 = 4 AS silent FROM documents WHERE doc_id >= 0),
+posted AS (SELECT run_id, 'm1' AS claim_id, a AS how FROM d UNION ALL SELECT run_id, 'm2', b FROM d),
+rank AS (SELECT * FROM (VALUES ('grounded', 0, true), ('assumed', 1, true), ('laundered', 2, false), ('unsupported', 3, false), ('prior_only', 4, false)) v(status, rank, closes)),
+mid AS (SELECT run_id, claim_id, CASE how WHEN 0 THEN 'grounded' WHEN 1 THEN 'prior_only' WHEN 3 THEN 'assumed' ELSE 'unsupported' END AS status, CASE WHEN how IN (0, 3) THEN 1 ELSE 0 END AS depth,
+  CASE WHEN how IN (1, 2, 4) THEN claim_id END AS at_claim, CASE WHEN how IN (1, 2, 4) THEN 's2' END AS at_step,
+  CASE how WHEN 1 THEN 'model prior, no external evidence' WHEN 2 THEN 'span_mismatch' WHEN 4 THEN 'no entry posted' ELSE '' END AS why FROM posted),
+cites AS (SELECT run_id, way, leg, member FROM d, (VALUES (0, 1, 1, 'm1'), (0, 1, 1, 'm2'), (1, 1, 1, 'm1'), (1, 1, 2, 'm2'), (2, 1, 1, 'm1'), (2, 2, 1, 'm2'), (3, 1, 1, 'm1')) v(how, way, leg, member) WHERE c = how AND NOT silent),
+under AS (SELECT x.run_id, way, leg, m.*EXCLUDE (run_id, claim_id), rank, closes, row_number() OVER (PARTITION BY x.run_id, way, leg ORDER BY closes, rank DESC, depth DESC, at_step DESC, at_claim DESC) AS nth
+  FROM cites x JOIN mid m ON m.run_id = x.run_id AND m.claim_id = x.member JOIN rank USING (status)),
+legs AS (SELECT run_id, way, leg, CASE WHEN closes THEN status ELSE 'laundered' END AS status, depth + 1 AS depth, at_claim, at_step, why FROM under WHERE nth = 1
+  UNION ALL SELECT run_id, 2, 1, 'grounded', 1, NULL, NULL, '' FROM d WHERE c = 3 AND NOT silent),
+ways AS (SELECT *, row_number() OVER (PARTITION BY run_id, way ORDER BY closes, rank DESC, depth DESC, at_step DESC, at_claim DESC) AS nth FROM legs JOIN rank USING (status)),
+best AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rank, depth, coalesce(at_step, ''), coalesce(at_claim, '')) AS place FROM ways WHERE nth = 1),
+audits AS (SELECT run_id, claim_id, status, depth, at_claim, at_step, why FROM mid UNION ALL SELECT run_id, 'e1', status, depth, at_claim, at_step, why FROM best WHERE place = 1)
+"""
+
+
+def _webs(spark: SparkSession, sf_dir: str) -> Runs:
+    return views.webs(views.read(spark, sf_dir, "documents"))
+
+
+@query(_WEB + "SELECT run_id, claim_id, status, CAST(depth AS BIGINT) AS depth, at_claim AS break_claim_id, at_step AS break_step_id, why AS break_reason FROM audits")
+def web_claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.close_books(_webs(spark, sf_dir)).select("run_id", "claim_id", "status", F.col("depth").cast("long").alias("depth"), "break_claim_id", "break_step_id", "break_reason")
+
+
+@query(
+    _WEB
+    + """SELECT d.run_id, CAST(CASE WHEN silent THEN 0 ELSE 1 END AS BIGINT) AS final_claims, CAST(coalesce(closes, false) AS BIGINT) AS closing, coalesce(closes, false) AS books_balance,
+  CASE WHEN NOT coalesce(closes, true) THEN 'books_do_not_balance' ELSE '' END AS reasons, CAST(CASE WHEN silent THEN 2 WHEN closes THEN 0 ELSE 1 END AS BIGINT) AS exit_code
+FROM d LEFT JOIN audits a ON a.run_id = d.run_id AND a.claim_id = 'e1' LEFT JOIN rank USING (status)"""
+)
+def web_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _webs(spark, sf_dir)
+    b = balance.trial_balance(runs, ledger.close_books(runs))
+    return b.select("run_id", "final_claims", "closing", "books_balance", F.array_join("reasons", ",").alias("reasons"), F.col("exit_code").cast("long").alias("exit_code"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS run_id, 'claim m' || k || ' is not what stands at its span' AS error FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id >= 0), (VALUES (1), (2)) v(k) WHERE doc_id % 7 = k UNION ALL SELECT DISTINCT CAST(doc_id AS VARCHAR), 'step s2 names the unknown artifact nowhere' FROM documents WHERE doc_id >= 0 AND doc_id % 11 = 3")
+def web_bad_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Webs that are spoilt: the text of a claim by doc_id % 7, an input of a step by doc_id % 11."""
+    runs, n = _webs(spark, sf_dir), F.col("run_id").cast("long")
+    wrong = F.col("claim_id") == F.concat(F.lit("m"), (n % 7).cast("string"))
+    claims = runs.claims.withColumn("text", F.when(wrong, "Something else altogether").otherwise(F.col("text")))
+    lost = (n % 11 == 3) & (F.col("step_id") == "s2")
+    steps = runs.steps.withColumn("inputs", F.when(lost, F.array(F.lit("nowhere"))).otherwise(F.col("inputs")))
+    return integrity.bad_runs(Runs(runs.artifacts, steps, claims, runs.entries, runs.assumptions))
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 _PRF = """count(*) AS n, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn"""

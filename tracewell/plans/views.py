@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracewell.plans.model import ASSUMPTIONS, CLAIMS, ENTRIES, Runs, by_run
+from tracewell.plans.model import ARTIFACTS, ASSUMPTIONS, CLAIMS, ENTRIES, STEPS, Runs, by_run
 
 #: What is done to a two-hop run's entries, by doc_id modulo their number.
 MUTATIONS = ("none", "not_an_input", "unknown_artifact", "own_artifact", "past_the_end", "empty_quote", "inside_a_word", "other_letter", "undeclared")
@@ -88,3 +88,47 @@ def hops(documents: DataFrame, mutated: bool = False) -> Runs:
         entry(4, "answer.c2.e1", "answer.c2", cite("summary", at_second, at_second + F.length("second")), F.col("second")),
     )
     return Runs(a, steps, claims, entries, documents.sparkSession.createDataFrame([], ASSUMPTIONS))
+
+
+#: The two sentences of a web's texts.
+SENTENCES = ("The first part of the story stands here.", "Another part of the story follows it.")
+
+
+def webs(documents: DataFrame) -> Runs:
+    """One run a document whose entries differ by doc_id, so that claims close or fail for every reason and in groups.
+
+    A middle text has two claims, each funded by the document, by nothing but the model, by a quotation that is not
+    there, by a declared assumption, or by nothing (doc_id % 5, and the next digit of base 5). The answer has one claim
+    (every fifth run none), which cites all of the middle text at once, its parts as a group, its parts each by itself,
+    or one part and the document.
+    """
+    first, second = SENTENCES
+    whole, at = f"{first} {second}", len(first) + 1
+    d = by_run(documents.where("doc_id >= 0").select(F.col("doc_id").cast("string").alias("run_id"), F.pmod("doc_id", F.lit(5)).alias("a"), F.pmod(F.floor(F.col("doc_id") / 5), F.lit(5)).alias("b"), F.pmod(F.floor(F.col("doc_id") / 25), F.lit(4)).alias("c"), (F.pmod(F.floor(F.col("doc_id") / 100), F.lit(5)) == 4).alias("silent")).distinct())
+
+    def rows(schema: str, *found: tuple[Column | None, tuple]) -> DataFrame:
+        names = [f.split(" ")[0] for f in schema.split(", ")][1:]
+        one = lambda values: F.struct(*(F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, list) else F.lit(v) for v in values))
+        x = F.explode(F.array_compact(F.array(*(one(v) if when is None else F.when(when, one(v)) for when, v in found))))
+        got = d.select("run_id", x.alias("x")).select("run_id", "x.*").toDF("run_id", *names)
+        return got.select(*(F.col(n).cast(t) for n, t in (f.split(" ") for f in schema.split(", "))))
+
+    spoken = ~F.col("silent")
+    a = rows(ARTIFACTS, (None, ("doc", "document", whole, "", 0)), (None, ("mid", "intermediate", whole, "", 1)), (None, ("end", "final_answer", whole, "", 2)))
+    s = rows(STEPS, (None, ("s1", "retrieve", [], ["doc"], 0)), (None, ("s2", "summarize", ["doc"], ["mid"], 1)), (None, ("s3", "answer", ["doc", "mid"], ["end"], 2)))
+    c = rows(CLAIMS, (None, ("m1", "mid", 0, len(first), first, 0)), (None, ("m2", "mid", at, at + len(second), second, 1)), (spoken, ("e1", "end", 0, len(whole), whole, 2)))
+    entries: list[tuple[Column | None, tuple]] = []
+    for name, digit, lo, text in (("m1", "a", 0, first), ("m2", "b", at, second)):
+        span = f"EVIDENCE:doc#{lo}-{lo + len(text)}"
+        for k, (account, quote) in enumerate(((span, text), ("PRIOR:model", ""), (span, text + " not"), ("ASSUMPTION:given", ""))):
+            entries.append((F.col(digit) == k, (f"{name}.{k}", name, account, quote, "view", "", len(entries))))
+    part = {"m1": (f"EVIDENCE:mid#0-{len(first)}", first), "m2": (f"EVIDENCE:mid#{at}-{at + len(second)}", second)}
+    how = F.col("c")
+    entries += [
+        (spoken & (how == 0), ("e1.w", "e1", f"EVIDENCE:mid#0-{len(whole)}", whole, "view", "", 8)),
+        *((spoken & (how == 1), (f"e1.g{m}", "e1", *part[m], "view", "g", 9)) for m in part),
+        *((spoken & (how == 2), (f"e1.s{m}", "e1", *part[m], "view", "", 10)) for m in part),
+        (spoken & (how == 3), ("e1.p", "e1", *part["m1"], "view", "", 11)),
+        (spoken & (how == 3), ("e1.d", "e1", f"EVIDENCE:doc#0-{len(whole)}", whole, "view", "", 12)),
+    ]
+    return Runs(a, s, c, rows(ENTRIES, *entries), d.select("run_id", F.lit("given").alias("id"), F.lit("It is given.").alias("text")))
