@@ -1,3 +1,6 @@
+import math
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,3 +96,56 @@ def test_decoder_against_brute_force(spark):
 
     for seen in ("t1e", "7 0 e", "n3tt", "0n3", "t.e.n"):
         assert r.restore(seen) == min(cost(seen, 0, 0, 0, 0.0))[1]
+
+
+def test_look_alikes_are_restored(spark):
+    lm = toxicity.language_model(spark.read.parquet(f"{SF}/documents.parquet").where(F.col("lang") == "en"))
+    r = toxicity.Restorer(lm)
+    for seen in ("іdіоt", "idi\u200bot", "ｉｄｉｏｔ", "1d\u00ad10t", "iδιot".replace("δ", "d")):
+        assert "idiot" in toxicity.units(seen, r), seen
+    assert toxicity.units("слово", r) == ["слово"] and toxicity.units("été", r) == ["été"]
+
+
+def plain_statistics(text):
+    """The 12 statistics by counting characters, words and lines one at a time."""
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    if not raw:
+        return [0.0] * 12
+    n, m = len(raw), max(1, len(words))
+    count = lambda ok: sum(ok(chr(b)) for b in raw if b < 128)
+    upper, lower, digit = count(str.isupper), count(str.islower), count(str.isdigit)
+    plain = count(lambda c: c in ".,;:'\"-()?")
+    symbol = count(lambda c: 32 < ord(c) < 127 and not c.isalnum() and c not in ".,;:'\"-()?")
+    logit = lambda a, b: math.log((a + 0.5) / (b + 0.5))
+    packed = sum(len(zlib.compress(raw[k : k + quality.PIECE], 1)) for k in range(0, n, quality.PIECE))
+    return [
+        math.log(1 + n), math.log(n / m), logit(upper, lower + 1), logit(digit, n), logit(plain, n), logit(symbol, n), logit(text.count("!"), n), logit(text.count("|"), n),
+        math.log(len(set(words)) + 1) - 0.8 * math.log(m + 1), math.log((packed + 1) / (n + 20)), math.log(n / len(lines)), logit(len(lines) - len(set(lines)), len(lines)),
+    ]
+
+
+def test_statistics_against_plain_counts():
+    r = np.random.default_rng(2)
+    letters = list("abcDEF 123 .,;:!?|$%\n\t") + ["é", "日"]
+    texts = ["", "a", "\n\n", "One two two.\nOne two two.\n"] + ["".join(r.choice(letters, int(k))) for k in r.integers(1, 400, 60)] + ["ab " * 30_000]
+    for t in texts:
+        assert np.allclose(quality.statistics(t), plain_statistics(t), atol=1e-12), t
+
+
+def test_scores_are_those_of_the_models(spark):
+    """Of both classifiers: the score of every row from the fitted model, by a plain formula."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.select("doc_id", "text").collect()
+    model = toxicity.fit(docs, labels)
+    reader = toxicity.Reader(model.lm, model.known)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for r in rows:
+        odds = model.bias + sum(model.weights[f] for f in reader(r.text or ""))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-odds))) < 1e-12
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for r in rows:
+        z = (np.array(plain_statistics(r.text or "")) - model.scale[0]) / model.scale[1]
+        dense = [-0.5 * (z - mu) @ np.linalg.inv(f @ f.T) @ (z - mu) - 0.5 * np.linalg.slogdet(f @ f.T)[1] for mu, f in zip(model.means, model.factors, strict=True)]
+        odds = dense[1] - dense[0] + math.log(model.prior / (1 - model.prior))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-min(500, max(-500, odds))))) < 1e-6

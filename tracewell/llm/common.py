@@ -50,13 +50,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df by way of a Parquet table in the shared folder: compressed, and it survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that stored() has written: for callers whose results, made from them, are written."""
+    while _written:
+        drop(spark, _written.pop())
+
+
 def added(df: DataFrame, **types: T.DataType) -> T.StructType:
     """The schema of df with more fields."""
     return T.StructType([*df.schema.fields, *(T.StructField(k, t) for k, t in types.items())])

@@ -9,6 +9,7 @@ documents and the channel's costs. A logistic model of marker words and word beg
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +28,10 @@ FOLDS, HELD = 4, 2
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 #: What a character may stand for besides itself.
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "¡": "i", "*": "aeiou"}
+#: Letters of other scripts that look like Latin ones, and what is not seen between letters.
+LOOKALIKES = dict(zip("аеорсухіјѕԁһӏкмтвνοαερτικυχ", "aeopcyxijsdhlkmtbvoaeptikux", strict=True))
+UNSEEN = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+RESEMBLES |= LOOKALIKES
 SEPARATORS = " .-_*~,/\\'’"
 #: Costs of the channel, as negative log probabilities.
 KEEP, RESEMBLE, APART, AGAIN, DOUBLE = 0.05, 0.4, 0.1, 0.3, 1.2
@@ -39,8 +44,12 @@ _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…«
 _AMONG = re.compile(r"[^\W\d_].*[\d@$!|+€£(¡*].*[^\W_]|[\d@$!|+€£(¡].*[^\W\d_]")
 _SPLIT_UP = re.compile(r"(?:[^\W_]{1,2}[.\-_*~,/]){2,}[^\W_]+|[^\W\d_]+[.\-_*~][^\W\d_]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
+#: Words of Latin letters and others that look like them, or with something unseen among them.
+_LIKE = re.compile(f"(?=.*[{''.join(LOOKALIKES)}{UNSEEN}])[a-zß-öø-ÿœ0-9{''.join(LOOKALIKES)}{UNSEEN}]+")
 _SPACED = re.compile(r"(?<![^\W_])[\w@$!|+€£(](?:[ .\-_*~]{1,2}[\w@$!|+€£(]){3,}(?![^\W_])")
 
+_WIDE = re.compile("[\uff01-\uff5e]")
+
 _index = {c: i + 1 for i, c in enumerate(LETTERS)}
 _SYMBOLS = len(LETTERS) + 1
 
@@ -88,7 +97,7 @@ class Restorer:
         for c in seen:
             options = [(_index[c], KEEP)] if c in _index else []
             options += [(_index[x], RESEMBLE) for x in RESEMBLES.get(c, "")]
-            nothing = APART if c in SEPARATORS else None if options else 0.5
+            nothing = APART if c in SEPARATORS or c in UNSEEN else None if options else 0.5
             after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, path) in states.items():
                 row = lm[a][b]
@@ -114,14 +123,16 @@ class Restorer:
 
 
 def disguised(word: str) -> bool:
-    return len(word) >= 3 and bool(_AMONG.search(word) or _THRICE.search(word) or _SPLIT_UP.fullmatch(word))
+    return len(word) >= 3 and bool(_LIKE.fullmatch(word) or _AMONG.search(word) or _THRICE.search(word) or _SPLIT_UP.fullmatch(word))
 
 
 def units(word: str, restorer: Restorer) -> list[str]:
     """The words that a token of lower case stands for: itself without marks around it, and what it is restored to."""
-    core = word.strip(_TRIM)
+    if not word.isascii() and _WIDE.search(word):
+        word = unicodedata.normalize("NFKC", word)
+    core = word.strip(_TRIM + UNSEEN)
     out = [core] if core else []
-    if not core.isalpha() or _THRICE.search(core):
+    if not core.isalpha() or _THRICE.search(core) or _LIKE.fullmatch(core):
         for form in dict.fromkeys((core, word.rstrip(".,;:?"), word.strip("!?.,;:'\""))):
             if disguised(form) and (r := restorer.restore(form)) and r not in out:
                 out.append(r)
