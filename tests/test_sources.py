@@ -213,3 +213,36 @@ def test_trajectory_echoes_and_labels():
     assert meta["at_boundary"] and meta["code_agent"] and meta["labelled"] and meta["label_step"] == 3 and meta["truncated"] == ["s1.t0", "s3.t0"]
     assert meta["history_step_of"] == {"s1": 1, "s1.tools": 1, "s2.tools": 2, "s3.tools": 3}
     assert kinds(trajectory.to_run({"agent_answer": "the answer is Canberra", "history": history[:1]}))["s1.t0"] == "intermediate"
+
+
+def span(at, given=None, gave=None, key="startTimeUnixNano", **more):
+    part = lambda m: {"role": m[0], "parts": [{"type": "text", "content": m[1]}]} if m[0] else {"parts": [{"type": "text", "content": m[1]}]}
+    value = lambda x: {"stringValue": x if isinstance(x, str) else json.dumps([part(m) for m in x])}
+    found = [(k, v) for k, v in (("gen_ai.input.messages", given), ("gen_ai.output.messages", gave)) if v is not None]
+    return {key: at, "attributes": [{"key": k, "value": value(v)} for k, v in found]} | more
+
+
+def test_spans_that_are_cut_old_or_rewritten():
+    u, a, b = ("user", "How tall is it?"), ("assistant", "Let me look."), ("assistant", "It is tall.")
+    old = {"resourceSpans": [{"instrumentationLibrarySpans": [{"spans": [span("9", [u, a], [b], key="start_time_unix_nano"), span(1, [u], [a], key="startTime")]}]}]}
+    run = spans.to_run(old)
+    assert [x["content"] for x in run["artifacts"]] == [u[1], a[1], b[1]] and not run["_meta"]["rewritten"]
+    cut = spans.to_run([span("1", [u], [a]), span("2", '[{"role": "us', [b], name="chat")])
+    assert cut["_meta"]["unreadable"] == ["chat: gen_ai.input.messages"] and [x["content"] for x in cut["artifacts"]][-1] == b[1]
+    window = spans.to_run([span("1", [u], [a]), span("2", [a, ("user", "And wide?")], [b])])
+    assert window["_meta"]["rewritten"] and [x["content"] for x in window["artifacts"]] == [u[1], a[1], "And wide?", b[1]]
+    other = spans.to_run([span("1", [u], [a]), span("2", [("system", "Be brief"), u, ("", "So")], [b])])
+    assert other["_meta"]["dropped_repeat_turns"] == 1 and other["_meta"]["roleless_turns"] == 1
+    assert kinds(other)[next(x["artifact_id"] for x in other["artifacts"] if x["content"] == "So")] == "intermediate"
+    tool = {"name": "execute_tool look", "startTimeUnixNano": "2", "attributes": {"gen_ai.operation.name": "execute_tool", "gen_ai.tool.call.result": "134 m"}}
+    assert spans.to_run([span("1", [u], [a]), tool])["artifacts"][-1]["title"] == "look"
+    with pytest.raises(native.Malformed):
+        spans.to_run([{"name": "x", "attributes": []}])
+
+
+def test_a_recording_that_stops_on_a_tool_has_no_answer(spark):
+    rows = [("t", 0, "model_end", "a", "model", "Let me look.", None), ("t", 1, "tool_start", "b", "look", "x", None), ("t", 2, "tool_end", "b", "look", "134 m", None)]
+    schema = [f.split(" ")[0] for f in recorder.EVENTS.split(", ")] if isinstance(recorder.EVENTS, str) else recorder.EVENTS.names
+    by = dict(zip(("trace_id", "seq", "event", "call_id", "name", "text", "documents"), zip(*rows, strict=True), strict=True))
+    events = spark.createDataFrame([tuple(by[c][k] for c in schema) for k in range(3)], recorder.EVENTS)
+    assert {r.kind for r in recorder.to_runs(events).artifacts.collect()} == {"intermediate", "tool_result"}

@@ -66,9 +66,9 @@ def _build(events: pd.DataFrame) -> pd.DataFrame:
             if text.strip():
                 tool = e["event"] == "tool_end"
                 step("tool" if tool else "generate", inputs, [artifact("tool_result" if tool else "intermediate", text, name)])
-    last = next((x for x in reversed(out) if x["part"] == "artifact" and x["kind"] == "intermediate"), None)
-    if last:
-        last["kind"] = "final_answer"
+    made = [x for x in out if x["part"] == "artifact"]
+    if made and made[-1]["kind"] == "intermediate":  # a recording that stops on a tool doesn't say what the user saw
+        made[-1]["kind"] = "final_answer"
     return pd.DataFrame(out, columns=["run_id", "part", "id", "kind", "content", "title", "inputs", "outputs", "ord"], dtype=object)
 
 
