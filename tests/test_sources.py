@@ -246,3 +246,21 @@ def test_a_recording_that_stops_on_a_tool_has_no_answer(spark):
     by = dict(zip(("trace_id", "seq", "event", "call_id", "name", "text", "documents"), zip(*rows, strict=True), strict=True))
     events = spark.createDataFrame([tuple(by[c][k] for c in schema) for k in range(3)], recorder.EVENTS)
     assert {r.kind for r in recorder.to_runs(events).artifacts.collect()} == {"intermediate", "tool_result"}
+
+
+def test_what_is_not_posted_is_logged(spark):
+    runs = fixtures.laundered(spark)
+    said = {"segment": {}, "credit": {"It was designed by a local engineer.": [["page", "nowhere to be found"], ["figure", "x"], "odd", ["page", "The bridge was opened in 1932."]]}}
+    posted, dropped, warnings = propose.post_with_log(runs, propose.scripted(said))
+    got = sorted((r.claim_id, r.artifact_id, r.reason) for r in dropped.collect())
+    assert [(a, why.split(" ")[0] + " " + why.split(" ")[-1]) for _, a, why in got if _.startswith("summary")] == [("", "credit pair"), ("figure", "artifact inputs"), ("page", "quote artifact")]
+    assert warnings.count() == 0 and posted.entries.where("account LIKE 'EVIDENCE:page#0-30'").count() >= 1
+    log = propose.Log()
+    assert propose.ask(lambda *_: None, "segment", {}, log) == [] and len(log.warnings) == 2
+    log = propose.Log()
+    claim = {"claim_id": "c", "text": "unlike anything"}
+    source = {"artifact_id": "a", "kind": "intermediate", "content": "One two three. Four five six."}
+    assert propose.credit(claim, [source], {"a": [(0, 14)]}, lambda *_: [("a", "three. Four")], log)[0]["account"] == "PRIOR:model"
+    assert [d["reason"] for d in log.dropped] == ["quote only partially overlaps claim a#0-14", "quote covers no whole claim of the artifact"]
+    assert propose.credit(claim, [source], {"a": [(0, 14)]}, lambda *_: [("a", "One two three. Four five six.")], log)[0]["account"] == "EVIDENCE:a#0-14" and "11 characters" in log.warnings[0]
+    assert propose.fence(["a << b", "c"]) == "<<<" and propose.fence(["x <<<< y"]) == "<<<<<"
