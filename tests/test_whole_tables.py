@@ -1,8 +1,11 @@
 """Queries over all rows: paths for large tables against those for small ones, and rows that SQL leaves out."""
 
+import json
+
 import pytest
 
 from tracewell import catalog
+from tracewell.sources.echoes import letters, words
 from tracewell.functions.udfs import _gate
 
 
@@ -55,3 +58,51 @@ def test_normal_form_of_all_documents(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.normal for r in catalog.queries()["doc_normalized"](spark, str(tmp_path)).collect()}
     assert got == {1: 'the "quick" fox-jumps', 2: "plain text", 3: None, 4: "", 5: "caf\u00e9 \u65e5\u672c"}
+
+
+def test_replies_of_tools_by_a_plain_search(spark):
+    """Every reply of the conversations' tools: model text if it is, or has as a line, what the call was given; else noted
+    by the share of its letters in runs of words that stand in the call that it answers, in earlier ones, or in a message."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").orderBy("conv_id", "turn").collect()
+    by, want = {}, {}
+    for r in rows:
+        by.setdefault(str(r.conv_id), []).append(r)
+
+    def share(reply, texts):
+        said, k, covered = words(reply), 0, 0
+        inside = lambda a, b: any(t[i : i + b - a] == said[a:b] for t in texts for i in range(len(t) - (b - a) + 1))
+        while k < len(said):
+            end = k
+            while end < len(said) and inside(k, end + 1):
+                end += 1
+            n = sum(map(letters, said[k:end]))
+            covered += n if n >= 8 else 0
+            k = max(end, k + 1)
+        return covered / max(1, sum(map(letters, said)))
+
+    for run, turns in by.items():
+        at = nth = 0
+        given = []
+        for r in turns:
+            text = r.text or ""
+            if r.role != "assistant":
+                at += 1
+                continue
+            before = given[-1] if given else ""
+            reply = [text, f"Stored today {text} it says\nfine", f"Record number {r.turn} holds nothing of that kind", f"Entry: {before}"][nth % 4]
+            spelt = lambda t: [words(json.dumps({"note": t}, separators=(",", ":"), ensure_ascii=False)), words(t)]
+            if reply.strip():
+                name = f"t{at + 1}"
+                lines = lambda t: {" ".join(x.split()) for x in t.splitlines() if x.strip()}
+                if nth % 4 == 0 or lines(reply) & lines(text):
+                    want[run, name] = ("intermediate", None)
+                else:
+                    own, earlier = share(reply, spelt(text)), share(reply, [w for g in given for w in spelt(g)])
+                    same = any(" ".join(reply.split()) == " ".join(g.split()) for g in given)
+                    want[run, name] = ("tool_result", "answering_call" if own >= 0.5 else "earlier_turn" if earlier >= 0.5 or same else None)
+            given.append(text)
+            nth, at = nth + 1, at + 2
+    got = {(r.run_id, r.artifact_id): (r.kind, r.note) for r in catalog.conv_tool_replies(spark, "/root/testdata/sf0.01").collect()}
+    wrong = {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k) and (got.get(k) or ("",))[0] != "final_answer"}
+    assert len(got) > 100 and {"answering_call", "earlier_turn", None} == {n for _, n in got.values()}
+    assert not wrong, list(wrong.items())[:5]

@@ -13,7 +13,8 @@ from tracewell.functions.sentences import sentence_spans
 from tracewell.functions.udfs import normal_form
 from tracewell.operators import auditability, balance, evaluate, gates, integrity, ledger, spans, study
 from tracewell.plans import fixtures, views
-from tracewell.plans.model import Runs, by_run, is_blank, is_root, piece
+from tracewell.plans.model import Runs, is_blank, is_root, piece
+from tracewell.sources.files import documents_as_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -415,6 +416,32 @@ def web_bad_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.bad_runs(Runs(runs.artifacts, steps, claims, runs.entries, runs.assumptions))
 
 
+@query("SELECT * FROM (VALUES ('m0', 'document', '-'), ('t2', 'tool_result', '-'), ('t4', 'intermediate', '-'), ('t6', 'tool_result', 'answering_call'), ('a7', 'final_answer', '-')) v(artifact_id, kind, note)")
+def fixture_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a chat log's replies are read as, with the note on each."""
+    runs, _, notes = documents_as_runs(fixtures.chat_tools(spark))
+    return runs.artifacts.join(_echo_notes(notes), ["run_id", "artifact_id"], "left").select("artifact_id", "kind", F.coalesce("note", F.lit("-")).alias("note"))
+
+
+@query("SELECT * FROM (VALUES (0, 'document', 'How often does the ferry cross?'), (1, 'intermediate', 'I will look that up.'), (2, 'tool_result', 'Departures at six, ten, two and six.'), (3, 'final_answer', 'Four times a day.')) v(ord, kind, content)")
+def fixture_otel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thread of an export's spans; a turn that two spans hold counts once."""
+    return documents_as_runs(fixtures.otel(spark))[0].artifacts.select("ord", "kind", "content")
+
+
+def _echo_notes(notes: DataFrame) -> DataFrame:
+    return notes.where("note = 'echo_notes'").select("run_id", "artifact_id", F.get_json_object("detail", "$.kind").alias("note"))
+
+
+@query()
+def conv_tool_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as logs with tools: what each reply is read as, and the note on it. Held against a plain search in
+    the tests: SQL can't weigh a reply by the runs of words that it shares."""
+    runs, _, notes = documents_as_runs(views.tool_logs(views.read(spark, sf_dir, "conversations")))
+    replies = runs.artifacts.where(F.col("artifact_id").startswith("t")).select("run_id", "artifact_id", "kind")
+    return replies.join(_echo_notes(notes), ["run_id", "artifact_id"], "left")
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------
 
 _PRF = """count(*) AS n, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.plans.model import ARTIFACTS, ASSUMPTIONS, CLAIMS, ENTRIES, MAX_DEPTH, STEPS, Runs
 
@@ -67,3 +68,33 @@ def _chain(name: str, hops: int, ring: bool, grounded: bool) -> dict:
 
 def deep_and_cyclic(spark: SparkSession) -> Runs:
     return build(spark, [_chain("at the limit", MAX_DEPTH + 1, False, True), _chain("too deep", MAX_DEPTH + 3, False, True), _chain("ring with a way out", 20, True, True), _chain("closed ring", 5, True, False), _chain("nothing behind", 3, False, False)])
+
+
+def documents(spark: SparkSession, **logs: object) -> DataFrame:
+    """(path, content) of logs by name."""
+    return spark.createDataFrame([(name, bytearray(json.dumps(log).encode())) for name, log in logs.items()], "path string, content binary")
+
+
+def chat_tools(spark: SparkSession) -> DataFrame:
+    """A chat whose tools reply with a page, with the note that they were given, and with that note among other words."""
+    note = "The ferry crosses the strait four times a day"
+    call = lambda i, name, **given: {"role": "assistant", "content": None, "tool_calls": [{"id": i, "function": {"name": name, "arguments": json.dumps(given)}}]}
+    reply = lambda i, content: {"role": "tool", "tool_call_id": i, "content": content}
+    log = [
+        {"role": "user", "content": "How often does the ferry cross?"}, call("1", "search", q="ferry timetable"), reply("1", "Departures at six, ten, two and six from the north pier."),
+        call("2", "save", note=note), reply("2", note), call("3", "save", note=note), reply("3", f"Stored today {note} it says\nfine"), {"role": "assistant", "content": f"{note}."},
+    ]
+    return documents(spark, chat=log)
+
+
+def otel(spark: SparkSession) -> DataFrame:
+    """Two spans in reverse order, the second of which repeats the first one's turns; and a tool's span."""
+    part = lambda role, text: {"role": role, "parts": [{"type": "text", "content": text}]}
+    attribute = lambda key, messages: {"key": f"gen_ai.{key}.messages", "value": {"stringValue": json.dumps(messages)}}
+    asked, looked, said = part("user", "How often does the ferry cross?"), part("assistant", "I will look that up."), part("assistant", "Four times a day.")
+    found = [{"key": "gen_ai.operation.name", "value": {"stringValue": "execute_tool"}}, {"key": "gen_ai.tool.name", "value": {"stringValue": "search"}}, {"key": "gen_ai.tool.call.result", "value": {"stringValue": "Departures at six, ten, two and six."}}]
+    spans = [
+        {"name": "chat", "startTimeUnixNano": "30", "attributes": [attribute("input", [asked, looked]), attribute("output", [said])]},
+        {"name": "chat", "startTimeUnixNano": "10", "attributes": [attribute("input", [asked]), attribute("output", [looked])]}, {"name": "execute_tool search", "startTimeUnixNano": "20", "attributes": found},
+    ]
+    return documents(spark, export={"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]})

@@ -132,3 +132,28 @@ def webs(documents: DataFrame) -> Runs:
         (spoken & (how == 3), ("e1.d", "e1", f"EVIDENCE:doc#0-{len(whole)}", whole, "view", "", 12)),
     ]
     return Runs(a, s, c, rows(ENTRIES, *entries), d.select("run_id", F.lit("given").alias("id"), F.lit("It is given.").alias("text")))
+
+
+def tool_logs(conversations: DataFrame) -> DataFrame:
+    """Each conversation as a chat log with tools, (path, content): what the assistant says it hands to a tool, whose reply
+    depends on the turn: what it was given, that among other words, a text of its own, or what was given the turn before."""
+    x = conversations.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").cast("int").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    told = F.col("role") == "assistant"
+    nth = F.row_number().over(W.partitionBy("path", told).orderBy("turn")) - 1
+    x = x.withColumn("nth", nth).withColumn("before", F.coalesce(F.lag("text").over(W.partitionBy("path", told).orderBy("turn")), F.lit("")))
+    id_ = F.concat(F.lit("c"), F.col("turn").cast("string"))
+    reply = (
+        F.when(F.col("nth") % 4 == 0, F.col("text")).when(F.col("nth") % 4 == 1, F.concat(F.lit("Stored today "), F.col("text"), F.lit(" it says\nfine")))
+        .when(F.col("nth") % 4 == 2, F.concat(F.lit("Record number "), F.col("turn").cast("string"), F.lit(" holds nothing of that kind"))).otherwise(F.concat(F.lit("Entry: "), F.col("before")))
+    )
+    call = F.array(F.struct(id_.alias("id"), F.struct(F.lit("save").alias("name"), F.to_json(F.struct(F.col("text").alias("note"))).alias("arguments")).alias("function")))
+    none = F.lit(None).cast("array<struct<id:string,function:struct<name:string,arguments:string>>>")
+
+    def message(role: Column, content: Column, calls: Column, answers: Column) -> Column:
+        return F.struct(role.alias("role"), content.alias("content"), calls.alias("tool_calls"), answers.alias("tool_call_id"))
+
+    text = F.lit(None).cast("string")
+    own = F.array(message(F.lit("assistant"), text, call, text), message(F.lit("tool"), reply, none, id_))
+    messages = F.when(told, own).otherwise(F.array(message(F.lit("user"), F.col("text"), none, text)))
+    logs = x.withColumn("messages", messages).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("turn", "messages"))).alias("all"))
+    return logs.select("path", F.to_json(F.struct(F.flatten(F.transform("all", lambda t: t["messages"])).alias("messages"))).cast("binary").alias("content"))

@@ -61,10 +61,16 @@ def read_document(raw: bytes, form: str | None = None, **options: Any) -> tuple[
 
 
 def read_runs(spark: SparkSession, path: str, form: str | None = None, **options: Any) -> tuple[Runs, DataFrame, DataFrame]:
-    """(runs, bad_runs(run_id, error), notes(run_id, note, artifact_id, detail)) of the files under a path.
+    """documents_as_runs() of the files under a path. A file is a run; its path is the run_id. Files are read by Spark,
+    so any store that it knows will do."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return documents_as_runs(files.select("path", "content"), form, **options)
+
 
-    A file is a run; its path is the run_id. Files are read by Spark, so any store that it knows will do. Each is
-    parsed once, on an executor; the tables are typed from the parsed parts by explicit schemas.
+def documents_as_runs(documents: DataFrame, form: str | None = None, **options: Any) -> tuple[Runs, DataFrame, DataFrame]:
+    """(runs, bad_runs(run_id, error), notes(run_id, note, artifact_id, detail)) of documents(path, content binary).
+
+    Each is parsed once, on an executor; the tables are typed from the parsed parts by explicit schemas.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,8 +87,7 @@ def read_runs(spark: SparkSession, path: str, form: str | None = None, **options
                 out.append((name, "notes", json.dumps(listed, ensure_ascii=False)))
             yield pd.DataFrame(out, columns=["run_id", "part", "payload"], dtype=object)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    parsed = by_run(files.select("path", "content").mapInPandas(parse, "run_id string, part string, payload string"))
+    parsed = by_run(documents.select("path", "content").mapInPandas(parse, "run_id string, part string, payload string"))
 
     def typed(part: str, schema: str) -> DataFrame:
         row = T.ArrayType(T.StructType.fromDDL(schema))
