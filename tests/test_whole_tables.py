@@ -7,6 +7,9 @@ import pytest
 from tracewell import catalog
 from tracewell.sources.echoes import letters, words
 from tracewell.functions.udfs import _gate
+from tracewell.operators import auditability
+from tracewell.plans import views
+from tracewell.plans.model import Runs
 
 
 def test_quotes_in_any_number_of_passes(spark, tmp_path):
@@ -106,3 +109,28 @@ def test_replies_of_tools_by_a_plain_search(spark):
     wrong = {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k) and (got.get(k) or ("",))[0] != "final_answer"}
     assert len(got) > 100 and {"answering_call", "earlier_turn", None} == {n for _, n in got.values()}
     assert not wrong, list(wrong.items())[:5]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_threads_are_read_without_lists_of_inputs(spark, tmp_path):
+    """Findings and counters of chats equal those by their steps' lists, and plans hold no list and one join at most."""
+    long = "A text that is long enough to be missed."
+    turns = [(1, "user", long), (1, "assistant", "yes"), (1, "user", long), (2, "user", "\u4e00" * 25), (2, "user", "\u4e00 " * 9), (3, "assistant", " "), (3, "system", "\u00a0" * 30 + "abc"), (3, "assistant", None), (4, "assistant", "one"), (4, "user", "\u4e00" * 25), (4, None, "\u4e00\u200b" * 15)]
+    rows = [(c, k, role, text) for k, (c, role, text) in enumerate(turns)] + [(9, k, "assistant" if k % 2 else "user", f"{k % 50} {long}") for k in range(400)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for sf in (str(tmp_path), "/root/testdata/sf0.01"):
+        t = views.chats(views.read(spark, sf, "conversations"))
+        listed = Runs(t.artifacts, t.steps, t.claims, t.entries, t.assumptions)
+        for f in (auditability.findings, auditability.check, auditability.step_classes):
+            assert sorted(map(str, f(t).collect())) == sorted(map(str, f(listed).collect()))
+    got = {(r.run_id, r.code, r.subject) for r in auditability.findings(views.chats(views.read(spark, str(tmp_path), "conversations"))).collect() if r.run_id != "9"}
+    assert got == {
+        ("1", "orphan_root", "m2"), ("1", "duplicate_content", "m0, m2"), ("2", "no_final_answer", "-"), ("2", "no_steps", "-"), ("3", "empty_artifact", "a5"), ("3", "empty_artifact", "a7"), ("3", "undeclared_inputs", "s5"),
+        ("4", "undeclared_inputs", "s8"), ("4", "orphan_root", "m9"),
+    }
+    for name in ("conv_reachable_share", "conv_findings", "conv_step_classes", "conv_steps_input_counts"):
+        plan = _plan(catalog.queries()[name](spark, str(tmp_path)))
+        assert "collect_list(artifact_id" not in plan.split("sort_array")[0] and plan.count("Join") <= 1

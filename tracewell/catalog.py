@@ -73,7 +73,7 @@ def conv_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CHAT + "SELECT run_id, 's' || turn AS step_id, CAST(earlier AS BIGINT) AS n_inputs FROM a WHERE role = 'assistant'")
 def conv_steps_input_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chats(spark, sf_dir).steps.select("run_id", "step_id", F.size("inputs").cast("long").alias("n_inputs"))
+    return _chats(spark, sf_dir).input_counts().select("run_id", "step_id", F.col("n_inputs").cast("long").alias("n_inputs"))
 
 
 @query(_CHAT + "SELECT run_id, artifact_id, content FROM a WHERE kind = 'final_answer'")
