@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from tracewell.audit import audit
@@ -190,3 +191,24 @@ def test_plans_are_short(spark):
     for name in ("hop_balance", "hop_answer_cover", "hop_claim_status"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") <= 12 and "FileScan" not in plan and "FlatMapGroups" not in plan
+
+
+def test_runs_are_settled_many_at_a_time(spark):
+    """No run is handed over by itself, and all audits come whatever a batch holds."""
+    from tracewell import catalog
+
+    for name in ("web_claim_status", "web_balance"):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan
+    names, many = [f"r{k}" for k in range(50)], []
+    for k, name in enumerate(names):
+        many.append({"run_id": name, "artifacts": [("doc", "document", TEXT), ("mid", "intermediate", TEXT)], "steps": [("s0", "retrieve", [], ["doc"]), ("s1", "generate", ["doc"], ["mid"])], "claims": [("m1", "mid", 0, 4), ("m2", "mid", 5, 9)], "entries": GOOD[: k % 3]})
+    want = {(n, c): "grounded" if k % 3 > i else "unsupported" for k, n in enumerate(names) for i, c in enumerate(("m1", "m2"))}
+    assert {k: r.status for k, r in settled(spark, *many).items()} == want
+    gathered = [(n, [{"claim_id": c, "artifact_id": "mid", "text": "x", "root": False, "step": "s1", "entries": None} for c in ("m1", "m2")]) for n in names]
+    batch = pa.RecordBatch.from_pylist([{"run_id": n, "claims": c} for n, c in gathered], pa.schema([("run_id", pa.string()), ("claims", pa.list_(pa.struct([("claim_id", pa.string()), ("artifact_id", pa.string()), ("text", pa.string()), ("root", pa.bool_()), ("step", pa.string()), ("entries", pa.null())])))]))
+    for most in (1, 7, 10_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ledger, "OUT_ROWS", most)
+            out = list(ledger._close(iter([batch])))
+        assert [r["run_id"] for b in out for r in b.to_pylist()] == [n for n in names for _ in range(2)] and max(b.num_rows for b in out) <= max(most + 2, 2)

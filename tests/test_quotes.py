@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from tracewell.functions.locate import exact, to_claims, tolerant
 from tracewell.functions.quotes import cuts_a_number, cuts_a_word, says_the_same
 from tracewell.functions.sentences import sentences
+from tracewell.functions import textview
 from tracewell.functions.textview import INVISIBLE, normal, view
 
 
@@ -125,3 +127,11 @@ def test_words_of_a_text():
 def test_located_with_the_numbers_that_are_stated(text, quote, found):
     span = tolerant(text, quote)
     assert (span and text[slice(*span)]) == found
+
+
+def test_view_of_ascii_as_walked():
+    draw = random.Random(5)
+    for _ in range(2000):
+        text = "".join(draw.choice("ab1-'\".,\\ \t\n\r\x0b\x1c\x1f\x00\x7f") for _ in range(draw.randrange(9)))
+        for drop in (textview.unseen, textview.unprinted):
+            assert textview.view(text, drop) == textview._walked(text, drop)
