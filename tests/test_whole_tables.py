@@ -1,12 +1,17 @@
 """Queries over all rows: paths for large tables against those for small ones, and rows that SQL leaves out."""
 
 import json
+import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell import catalog
 from tracewell.sources.echoes import letters, words
-from tracewell.functions.udfs import _gate
+from tracewell.functions import sentences
+from tracewell.functions.textview import normal
+from tracewell.functions.udfs import _gate, is_ascii, normal_form
 from tracewell.operators import auditability
 from tracewell.plans import views
 from tracewell.plans.model import Runs
@@ -134,3 +139,36 @@ def test_threads_are_read_without_lists_of_inputs(spark, tmp_path):
     for name in ("conv_reachable_share", "conv_findings", "conv_step_classes", "conv_steps_input_counts"):
         plan = _plan(catalog.queries()[name](spark, str(tmp_path)))
         assert "collect_list(artifact_id" not in plan.split("sort_array")[0] and plan.count("Join") <= 1
+
+
+def test_sentences_are_given_out_as_they_are_found(spark, tmp_path):
+    """All sentences of all documents whatever a batch holds, and no more than it may; no column of lists is made."""
+    line = "A sentence of several words, e.g. this one. \u4e00 second one stands here! "
+    docs = [(1, line * 300), (2, None), (3, ""), (None, "Null ids have sentences too.\n# no heading is one of them"), (4, "x" * 400), (5, line)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(d, k, a, b, t[a:b]) for d, t in docs for k, (a, b) in enumerate(sentences.sentences(t or ""))]
+    got = catalog.doc_sentences(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 600
+    assert got.dtypes == [("doc_id", "bigint"), ("nth", "int"), ("start", "int"), ("end", "int"), ("sentence", "string")]
+    assert "ArrowEvalPython" not in _plan(got) and "Generate" not in _plan(got)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "text": t} for d, t in docs], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    for rows, chars in ((7, 10**9), (10**9, 500), (10**9, 10**9)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(sentences, "OUT_ROWS", rows)
+            patch.setattr(sentences, "OUT_CHARS", chars)
+            out = list(sentences._split(iter([batch])))
+        assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+        assert all(b.num_rows <= rows and sum(map(len, b.column(4).to_pylist())) < chars + 500 for b in out)
+
+
+def test_normal_forms_of_ascii_without_python(spark):
+    """The same as textview.normal(); only texts with other characters go to Python, in bounded batches."""
+    draw = random.Random(3)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    texts = [None, "", " ", "abc\u2028", "\u2028", "\u00df", "\x1cA\x1d\x1eB\x1f\x0b\x0cC\x00 \x7f"] + ["".join(draw.choice("aB1 \t\n\r\x0b\x0c\x1c\x1f\x00\x7f-'\u00e9\u2014"[: draw.choice((16, 18))]) for _ in range(draw.randrange(12))) for _ in range(500)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select("k", "text", normal_form("text").alias("normal"))
+    assert all(r.normal == (None if r.text is None else normal(r.text)) for r in got.collect())
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+    assert "CASE WHEN NOT (octet_length(text" in next(x for x in _plan(got).splitlines() if "ArrowEvalPython" in x)
+    rows = spark.createDataFrame([(1, "abc\u2028"), (2, "Abc\n"), (3, None)], "doc_id long, text string")
+    assert [r.doc_id for r in rows.where(is_ascii(F.col("text"))).collect()] == [2]

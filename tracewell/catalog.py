@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.sentences import sentence_spans
-from tracewell.functions.udfs import normal_form
+from tracewell.functions.sentences import sentence_rows
+from tracewell.functions.udfs import is_ascii, normal_form
 from tracewell.operators import auditability, balance, evaluate, gates, integrity, ledger, spans, study
 from tracewell.plans import fixtures, views
-from tracewell.plans.model import Runs, is_blank, is_root, piece
+from tracewell.plans.model import Runs, is_blank, is_root
 from tracewell.sources.files import documents_as_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,7 +136,7 @@ def doc_duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, trim(lower(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g'))) AS normal FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
 def doc_normalized_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    docs = views.read(spark, sf_dir, "documents").where(is_ascii(F.col("text")))
     return docs.select("doc_id", normal_form("text").alias("normal"))
 
 
@@ -149,9 +149,7 @@ def doc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def doc_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence of every document by its span; the rule for abbreviations looks back, which SQL can't."""
-    docs = views.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    s = docs.select("doc_id", "text", F.posexplode(sentence_spans("text")).alias("nth", "at"))
-    return s.select("doc_id", "nth", "at.start", "at.end", piece(F.col("text"), F.col("at.start"), F.col("at.end")).alias("sentence"))
+    return sentence_rows(views.read(spark, sf_dir, "documents"))
 
 
 @query("SELECT b.item_id, d.doc_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")

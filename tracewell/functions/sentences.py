@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from tracewell.functions.locate import words
+from tracewell.functions.batches import mapped
+from tracewell.functions.locate import has_words
 
 #: Words whose full stop ends no sentence; initialisms ("U.S.", "e.g.") are read by their shape.
 ABBREVIATIONS = ("Dr", "Mr", "Mrs", "Ms", "Prof", "Sr", "Jr", "St", "Inc", "Ltd", "Co", "Corp", "No", "Fig", "vs", "approx")
@@ -38,13 +39,37 @@ def sentences(text: str) -> list[tuple[int, int]]:
         for stop in _ends(line) if line.lstrip()[:1] not in (*NOT_OPENING, "") else ():
             part = line[start:stop]
             lead = len(part) - len(part.lstrip())
-            if len(part) - lead >= LEAST_CHARS and len(words(part)) >= LEAST_WORDS:
+            if len(part) - lead >= LEAST_CHARS and has_words(part, LEAST_WORDS):
                 out.append((base + start + lead, base + stop))
             start = stop
         base += len(line) + 1
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def sentence_spans(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"start": a, "end": b} for a, b in sentences(t)])
+#: Sentences and their characters that a batch gives out at most, the last sentence beyond.
+OUT_ROWS, OUT_CHARS = 10_000, 2_000_000
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("nth", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("sentence", pa.string())])
+    for b in batches:
+        out, chars = [], 0
+        for k in range(b.num_rows):
+            doc, text = b.column(0)[k].as_py(), b.column(1)[k].as_py() or ""
+            for nth, (start, end) in enumerate(sentences(text)):
+                out.append((doc, nth, start, end, text[start:end]))
+                chars += end - start
+                if len(out) >= OUT_ROWS or chars >= OUT_CHARS:
+                    yield _table(out, schema)
+                    out, chars = [], 0
+        if out:
+            yield _table(out, schema)
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def sentence_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, nth, start, end, sentence): the sentences of docs(doc_id, text), given out as they are found."""
+    return mapped(docs.select("doc_id", "text"), _split, "doc_id long, nth int, start int, end int, sentence string")
