@@ -41,7 +41,7 @@ def is_ascii(text: Column) -> Column:
 def normal_form(text: Column | str) -> Column:
     """textview.normal(); texts of ASCII alone, where that is spaces and case, don't go through Python."""
     text = F.col(text) if isinstance(text, str) else text
-    plain = F.lower(F.trim(F.regexp_replace(text, r"[\t-\r\x1c-\x20]+", " ")))
+    plain = F.lower(F.trim(F.regexp_replace(text, r"[\t-\r\x1c-\x20]{2,}|[\t-\r\x1c-\x1f]", " ")))
     return F.coalesce(F.when(is_ascii(text), plain), _folded(F.when(~is_ascii(text), text)))
 
 
