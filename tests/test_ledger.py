@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from tracewell.audit import audit
+from tracewell.functions.batches import plain
 from tracewell.operators import balance, gates, integrity, ledger, report
 from tracewell.operators.graph import components
 from tracewell.plans import fixtures
@@ -212,3 +213,47 @@ def test_runs_are_settled_many_at_a_time(spark):
             patch.setattr(ledger, "OUT_ROWS", most)
             out = list(ledger._close(iter([batch])))
         assert [r["run_id"] for b in out for r in b.to_pylist()] == [n for n in names for _ in range(2)] and max(b.num_rows for b in out) <= max(most + 2, 2)
+
+
+def test_books_without_loops_are_settled_in_one_pass(monkeypatch):
+    """The same as by two passes; no components are sought, no level is waited for, and no depth that can't be too deep."""
+    loops, seen = ledger.components, {"straight": 0, "loops": 0}
+    for seed in range(300):
+        r = random.Random(seed)
+        names = [f"c{k}" for k in range(r.randint(1, 9))]
+        claims = {}
+        for at, n in enumerate(names):
+            entries = []
+            for k in range(r.randint(0, 4)):
+                kind = r.choice(["cite"] * (5 if at or seed % 3 == 0 else 0) + ["root", "assume", "prior", "bad", "open"])
+                under = names if seed % 3 == 0 else names[:at]
+                entries.append({
+                    "ord": k, "entry_id": f"{n}.{k}", "verified": kind not in ("prior", "bad"), "reason": {"prior": "prior_never_funds", "bad": "span_mismatch"}.get(kind, "ok"),
+                    "account_type": {"assume": "ASSUMPTION", "prior": "PRIOR"}.get(kind, "EVIDENCE"), "account": f"{n}.{k}", "cited_id": "x", "quoted_span": "q", "grp": r.choice(["", "", "g", "h"]),
+                    "cited_step": "s0", "upstream": r.sample(under, r.randint(1, min(3, len(under)))) if kind == "cite" else None, "cited_root": kind == "root",
+                })
+            claims[n] = {"claim_id": n, "root": r.random() < 0.05, "step": r.choice(["s1", "s2"]), "entries": entries}
+        book = ledger.Book(claims)
+        seen["loops" if book.loops else "straight"] += 1
+        assert book.loops == any(len(c) > 1 or c[0] in book.cites[c[0]] for c in loops(book.cites, book.cites))
+        plainly = ledger.Book(claims)
+        plainly.close()
+        plainly.fail()
+        if not book.loops:
+            with monkeypatch.context() as patch:
+                for name in ("close", "too_deep"):
+                    patch.delattr(ledger.Book, name)
+                patch.delattr(ledger, "components")
+                assert ledger.Book(claims).settle() == plainly.settled
+        assert book.settle() == plainly.settled
+    assert min(seen.values()) > 50
+
+
+def test_nested_columns_as_python_values():
+    """batches.plain() is to_pylist(), of slices and nulls too, without a scalar for every nested value."""
+    kind = pa.list_(pa.struct([("n", pa.int32()), ("s", pa.string()), ("b", pa.bool_()), ("l", pa.list_(pa.string())), ("none", pa.null()), ("t", pa.large_string()), ("m", pa.list_(pa.struct([("x", pa.string())])))]))
+    row = lambda k: {"n": k if k % 3 else None, "s": None if k % 4 == 0 else f"é{k}", "b": [True, False, None][k % 3], "l": [None, [], ["a", None]][k % 3], "none": None, "t": str(k), "m": [{"x": "y"}, {"x": None}] if k % 2 else None}
+    rows = [None, [], *([row(k) for k in range(n)] for n in (1, 5, 2)), None, [row(7)]]
+    whole = pa.array(rows, kind)
+    for part in (whole, whole[1:4], whole[3:], whole[:0], whole.values[2:6], pa.array([None, {"s": "x"}], pa.struct([("s", pa.string())]))):
+        assert plain(part) == part.to_pylist()

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from tracewell.functions import quotes, signs
 from tracewell.functions.locate import exact, to_claims, tolerant
 from tracewell.functions.quotes import cuts_a_number, cuts_a_word, says_the_same
 from tracewell.functions.sentences import sentences
@@ -135,3 +136,21 @@ def test_view_of_ascii_as_walked():
         text = "".join(draw.choice("ab1-'\".,\\ \t\n\r\x0b\x1c\x1f\x00\x7f") for _ in range(draw.randrange(9)))
         for drop in (textview.unseen, textview.unprinted):
             assert textview.view(text, drop) == textview._walked(text, drop)
+
+
+def test_signs_are_read_only_where_a_numeral_is(monkeypatch):
+    """Without numerals no number is cut, whatever stands there; with them signs are as by the plain formula."""
+    draw = random.Random(7)
+    for k in range(3000):
+        text = "".join(draw.choice("ab-+.,$( \n\t" + ("12²½Ⅳ٣​́é" if k % 2 else "")) for _ in range(draw.randrange(1, 12)))
+        start = draw.randrange(len(text))
+        around = quotes.Around(text, start, draw.randrange(start + 1, len(text) + 1))
+        raw = {}
+        for at, place in enumerate(around.places):
+            if place is not None:
+                raw.setdefault(place, around.lo + at)
+        want = "".join(s.upper() if s in "pm" and signs.opens_its_line(text, raw[at]) else s for at, s in enumerate(signs.signs_of(around.shown)))
+        assert around.signs() == (want if set(want) & set("devn") else "")
+    monkeypatch.delattr(quotes, "signs_of")
+    text = "No numeral stands here - none at all."
+    assert not cuts_a_number(text, 3, 20) and cuts_a_word(text, 4, 20)

@@ -27,6 +27,22 @@ def give_back() -> None:
         pass
 
 
+def plain(values: pa.Array) -> list:
+    """values.to_pylist(), a column at a time: scalars of nested rows are not made one by one. Keys of structs differ."""
+    kind = values.type
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        ends, known = values.offsets.to_numpy().tolist(), values.is_valid().to_numpy(zero_copy_only=False).tolist()
+        at = ends[0]
+        inner = plain(values.values.slice(at, ends[-1] - at))
+        return [inner[a - at : b - at] if ok else None for a, b, ok in zip(ends, ends[1:], known, strict=False)]
+    if pa.types.is_struct(kind) and not values.null_count and kind.num_fields:
+        names = [f.name for f in kind]
+        return [dict(zip(names, row, strict=True)) for row in zip(*map(plain, values.flatten()), strict=True)]
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or pa.types.is_boolean(kind):
+        return values.to_numpy(zero_copy_only=False).tolist()
+    return values.to_pylist()
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow(run, schema), with bounded batches. A worker gives back what a task has freed."""
 
